@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, packing, quality_classifier, quality_rules, resharding
+from . import fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, resharding
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op8_resharding": op8_resharding,
+    "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
 

@@ -11,10 +11,12 @@ finds its sequence by that number.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from .common import saved, text_of
 CAPACITY = 1024
 END_ID = 2
 #: Distinct pre-tokens a worker remembers, at most.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Pieces numbered together, about.
 NUMBERED_TOGETHER = 100_000
 
@@ -129,7 +131,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
 
 class Encoder(dict):
     """Pre-token -> its ids as little-endian 32-bit bytes. Pre-tokens don't influence one another, so each distinct
-    one is encoded once and remembered."""
+    one is encoded once and remembered, until there are REMEMBERED; the frequent ones come early."""
+
+    #: One per vocabulary in each worker process, which serves many tasks.
+    made: ClassVar[dict[str, Encoder]] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -143,10 +154,11 @@ class Encoder(dict):
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < REMEMBERED:
+            self[piece] = packed
+        return packed
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pieces(text)))
@@ -166,7 +178,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """Per piece: doc_id, piece, start, length, ids_crc32. A null text is empty and so one piece of the end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

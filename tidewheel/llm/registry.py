@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, resharding
+from . import byte_bpe, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, resharding
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_report(table(spark, sf_dir, "documents"))
+
+
 def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_resharding": op8_resharding,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,

@@ -98,19 +98,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance)))
 
 
-def next_ids(docs: DataFrame) -> DataFrame:
+def next_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
     """doc_id, next_id and third: the next id in descending order (after the last, the first), and a third of the
-    longest text with that doc_id. Null ids have none.
+    longest text with that doc_id. Null ids have none. With it, whether no id occurs twice.
 
     The ids are dealt out by ranges and each range is ordered by itself; where one ends, the first id of the next one
     that has any follows. Only a row per range reaches the driver."""
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("third"))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("third"), F.count("*").alias("rows"))
     dealt = saved(ids.repartitionByRange(F.col("doc_id").desc()).withColumn("range", F.spark_partition_id()), "fingerprint-ids")
-    firsts = sorted((r["range"], r["first"]) for r in dealt.groupBy("range").agg(F.max("doc_id").alias("first")).collect())
+    ranges = dealt.groupBy("range").agg(F.max("doc_id").alias("first"), F.max("rows").alias("rows")).collect()
+    firsts = sorted((r["range"], r["first"]) for r in ranges)
     after = [(k, firsts[(at + 1) % len(firsts)][1]) for at, (k, _) in enumerate(firsts)]
     follows = docs.sparkSession.createDataFrame(after, "range int, follows long")
     inside = F.lead("doc_id").over(Window.partitionBy("range").orderBy(F.col("doc_id").desc()))
-    return dealt.withColumn("inside", inside).join(F.broadcast(follows), "range").select("doc_id", F.coalesce("inside", "follows").alias("next_id"), "third")
+    out = dealt.withColumn("inside", inside).join(F.broadcast(follows), "range").select("doc_id", F.coalesce("inside", "follows").alias("next_id"), "third")
+    return out, all(r["rows"] == 1 for r in ranges)
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -119,10 +121,12 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     Null text counts as empty. Of repeated rows with one doc_id, the one that sorts first is the next document of
     another. A row without doc_id has no next document: its edited text is cut short, and near_next is null."""
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null").withColumn("packed", fingerprint(F.col("text")))
-    order = next_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumnsRenamed({"doc_id": "for_id"})
+    order, single = next_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    order = order.withColumnRenamed("doc_id", "for_id")
     # Both joins read the documents dealt out by doc_id, which Spark writes once and uses twice.
     given = known.join(order, known["doc_id"] == order["next_id"]).select("for_id", F.struct(F.substring("text", F.lit(1), F.col("third").cast("int")).alias("head"), F.col("packed").alias("next_packed")).alias("given"))
-    given = given.groupBy("for_id").agg(F.min("given").alias("given"))
+    if not single:
+        given = given.groupBy("for_id").agg(F.min("given").alias("given"))
     rows = known.join(given, known["doc_id"] == given["for_id"], "left").select("doc_id", "text", "packed", "given.head", "given.next_packed")
     lone = docs.filter("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.unionByName(lone.withColumns({"packed": fingerprint(F.col("text")), "head": F.lit(""), "next_packed": F.lit(None).cast("binary")}))

@@ -27,8 +27,8 @@ from .common import saved, text_of
 
 CAPACITY = 1024
 END_ID = 2
-#: Distinct pre-tokens a worker remembers, at most.
-REMEMBERED = 1_000_000
+#: Distinct parts of texts a worker remembers, and distinct words, at most.
+REMEMBERED = 600_000
 #: Pieces numbered together, about.
 NUMBERED_TOGETHER = 100_000
 
@@ -129,9 +129,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     return fixed + best_fit(left, capacity)
 
 
+class _Odd(Exception):
+    """A part that begins or ends with white space, or is empty."""
+
+
 class Encoder(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes. Pre-tokens don't influence one another, so each distinct
-    one is encoded once and remembered, until there are REMEMBERED; the frequent ones come early."""
+    """Part of a text -> the ids of a space and the part, as little-endian 32-bit bytes.
+
+    The split pattern always cuts before a space that stands alone between other characters, and merges don't cross
+    its cuts. So a text in which all spaces stand so is the sum of its parts between spaces. A part is the sum of its
+    words by the split pattern, and each distinct word is encoded once. Both are remembered, until there are
+    REMEMBERED; the frequent ones come early. Other texts are encoded whole."""
 
     #: One per vocabulary in each worker process, which serves many tasks.
     made: ClassVar[dict[str, Encoder]] = {}
@@ -151,17 +159,37 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.words: dict[str, bytes] = {}
+
+    def packed(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Odd
+        out = []
+        for word in self.split(" " + part):
+            packed = self.words.get(word)
+            if packed is None:
+                packed = self.packed(word)
+                if len(self.words) < REMEMBERED:
+                    self.words[word] = packed
+            out.append(packed)
+        whole = b"".join(out)
         if len(self) < REMEMBERED:
-            self[piece] = packed
-        return packed
+            self[part] = whole
+        return whole
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.pieces(text)))
+        first, *rest = text.split(" ")
+        try:
+            if rest and (not first or first[-1].isspace()):
+                raise _Odd
+            return self.packed(first) + b"".join(map(self.__getitem__, rest))
+        except _Odd:
+            return self.packed(text)
 
 
 def cut_points(length: int, capacity: int) -> list[tuple[int, int]]:

@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import json
 import struct
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, text_of
+from .parts import Parts
 
 #: Words in the dictionary, at most.
-DICTIONARY = 1 << 17
-#: Words a worker remembers, the dictionary included, and words it counts before it tells.
-REMEMBERED, COUNTED = 800_000, 400_000
+DICTIONARY = 1 << 16
+#: Words and parts of texts that a worker remembers, at most, and words it counts before it tells.
+REMEMBERED, COUNTED = 600_000, 400_000
 #: Buckets of the rank map.
 BUCKETS = 1 << 16
 
@@ -52,20 +55,14 @@ class Coder:
         if [n for n, _ in by_id] != list(range(len(by_id))):
             raise ValueError("ranks are 0, 1, 2, ... without gaps")
         digits = [b.hex().upper() for _, b in by_id]
-        slots = self._slots(digits, BUCKETS)
         buckets: list[dict[str, int] | None] = [None] * BUCKETS
-        for n, (d, s) in enumerate(zip(digits, slots, strict=True)):
+        for n, d in enumerate(digits):
+            s = zlib.crc32(d.encode()) % BUCKETS  # as rank() finds it
             buckets[s] = (buckets[s] or {}) | {d: n}
         self.buckets = _literal(buckets, "array<map<string,int>>")
-        self.id_digits = _literal([n.to_bytes(4, "little").hex() for n in range(len(digits))], "array<string>")
-
-    def _slots(self, keys: list[str], of: int) -> list[int]:
-        """pmod(xxhash64(key), of) of each key, by Spark itself."""
-        df = self.spark.createDataFrame([(k,) for k in keys], "k string")
-        return [r[0] for r in df.select(F.pmod(F.xxhash64("k"), F.lit(of))).collect()]
 
     def rank(self, digits: Column) -> Column:
-        return F.try_element_at(F.get(self.buckets, F.pmod(F.xxhash64(digits), F.lit(BUCKETS)).cast("int")), digits)
+        return F.try_element_at(F.get(self.buckets, (F.crc32(digits.cast("binary")) % BUCKETS).cast("int")), digits)
 
     def _fold(self, digits: Column) -> Column:
         """Ids of a word given by its bytes' digits. The accumulator holds the parts and the ranks of neighbours, of
@@ -105,53 +102,53 @@ class Coder:
         top = word_counts(docs, self.split).orderBy(F.desc("n"), "word").limit(size)
         # Dealt out anew: the fold is the costly part. Explode keeps it from being computed for each use.
         rows = top.repartition(64, "word").select("word", F.explode(F.array(self.ids(F.col("word")))).alias("ids"))
-        digits = F.array_join(F.transform("ids", lambda n: F.get(self.id_digits, n)), "")
-        return {r["word"]: bytes(r["ids"]) for r in rows.select("word", F.unhex(digits).alias("ids")).collect()}
+        got = rows.toArrow()
+        return {w: np.array(ids, "<u4").tobytes() for w, ids in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}
 
     def encode(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), dictionary: int = DICTIONARY) -> DataFrame:
         """docs' columns `keep`, ids and decoded: binary, the ids as little-endian 32-bit numbers and the bytes they
         decode to. Null text counts as empty, which has no ids."""
         shared = self.spark.sparkContext.broadcast((self.dictionary(docs, dictionary), self.ranks, self.split))
+        key = uuid.uuid4().hex
         schema = docs.select(*keep).schema.add("ids", "binary").add("decoded", "binary")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, ranks, split = shared.value
-            words, find = Words(known, ranks), regex.compile(split).findall
-            pieces = sorted(ranks, key=ranks.__getitem__)
+            parts, pieces = _of_worker(key, shared)
             for whole in batches:
                 for at in range(0, whole.num_rows, 200):
                     batch = whole.slice(at, 200)
-                    ids = [b"".join(map(words.__getitem__, find(t))) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                    ids = [parts.text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                     decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])
 
         return docs.select(*keep, text_of().alias("_text")).mapInArrow(run, schema)
 
 
-class Words(dict):
-    """Word -> its ids as bytes: the dictionary, and words met since, until there are REMEMBERED."""
+def merged(word: str, ranks: dict[bytes, int]) -> bytes:
+    """Ids of one word by the rule of the fold, for words outside the dictionary."""
+    rank = ranks.get
+    parts = [bytes((b,)) for b in word.encode()]
+    while len(parts) > 1:
+        pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        low = min(pairs)
+        if low == _NONE:
+            break
+        at = pairs.index(low)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return struct.pack(f"<{len(parts)}I", *map(ranks.__getitem__, parts))
 
-    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
-        super().__init__(known)
-        self.ranks = ranks
 
-    def __missing__(self, word: str) -> bytes:
-        rank = self.ranks.get
-        parts = [bytes((b,)) for b in word.encode()]
-        while len(parts) > 1:
-            pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-            low = min(pairs)
-            if low == _NONE:
-                break
-            at = pairs.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        ids = struct.pack(f"<{len(parts)}I", *map(self.ranks.__getitem__, parts))
-        if len(self) < REMEMBERED:
-            self[word] = ids
-        return ids
+_NONE = 1 << 40
+#: By dictionary, the parts that a worker process has coded, for all its tasks.
+_MADE: dict[str, tuple[Parts, list[bytes]]] = {}
 
 
-_NONE = 1 << 40
+def _of_worker(key: str, shared) -> tuple[Parts, list[bytes]]:
+    if key not in _MADE:
+        known, ranks, split = shared.value
+        _MADE.clear()
+        _MADE[key] = Parts(regex.compile(split).findall, lambda w: merged(w, ranks), known, REMEMBERED), sorted(ranks, key=ranks.__getitem__)
+    return _MADE[key]
 
 
 def word_counts(docs: DataFrame, split: str) -> DataFrame:

@@ -1,0 +1,47 @@
+"""Encoding texts by remembered parts, for tokenizers whose split pattern never joins what a lone space parts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class _Odd(Exception):
+    """A part that begins or ends with white space, or is empty."""
+
+
+class Parts(dict):
+    """Part of a text -> the code of a space and the part.
+
+    The split pattern always cuts before a space that stands alone between other characters, and merges don't cross
+    its cuts. So a text in which all spaces stand so is the sum of its parts between spaces. A part is the sum of its
+    words by the split pattern. Parts and words are remembered, `most` of each; the frequent ones come early. Other
+    texts are split by the pattern."""
+
+    def __init__(self, split: Callable[[str], list[str]], code: Callable[[str], bytes], known: dict[str, bytes], most: int):
+        super().__init__()
+        self.split, self.code, self.words, self.most = split, code, dict(known), most
+
+    def word(self, word: str) -> bytes:
+        code = self.words.get(word)
+        if code is None:
+            code = self.code(word)
+            if len(self.words) < self.most:
+                self.words[word] = code
+        return code
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Odd
+        code = b"".join(map(self.word, self.split(" " + part)))
+        if len(self) < self.most:
+            self[part] = code
+        return code
+
+    def text(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        try:
+            if rest and (not first or first[-1].isspace()):
+                raise _Odd
+            return b"".join(map(self.word, self.split(first))) + b"".join(map(self.__getitem__, rest))
+        except _Odd:
+            return b"".join(map(self.word, self.split(text)))

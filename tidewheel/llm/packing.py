@@ -16,7 +16,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
+from .parts import Parts
 
 CAPACITY = 1024
 END_ID = 2
@@ -129,67 +129,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     return fixed + best_fit(left, capacity)
 
 
-class _Odd(Exception):
-    """A part that begins or ends with white space, or is empty."""
+#: An encoder per vocabulary in each worker process, which serves many tasks.
+_MADE: dict[str, Parts] = {}
 
 
-class Encoder(dict):
-    """Part of a text -> the ids of a space and the part, as little-endian 32-bit bytes.
-
-    The split pattern always cuts before a space that stands alone between other characters, and merges don't cross
-    its cuts. So a text in which all spaces stand so is the sum of its parts between spaces. A part is the sum of its
-    words by the split pattern, and each distinct word is encoded once. Both are remembered, until there are
-    REMEMBERED; the frequent ones come early. Other texts are encoded whole."""
-
-    #: One per vocabulary in each worker process, which serves many tasks.
-    made: ClassVar[dict[str, Encoder]] = {}
-
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls.made:
-            cls.made[path] = cls(path)
-        return cls.made[path]
-
-    def __init__(self, path: str):
+def encoder(path: str) -> Parts:
+    if path not in _MADE:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.words: dict[str, bytes] = {}
-
-    def packed(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _Odd
-        out = []
-        for word in self.split(" " + part):
-            packed = self.words.get(word)
-            if packed is None:
-                packed = self.packed(word)
-                if len(self.words) < REMEMBERED:
-                    self.words[word] = packed
-            out.append(packed)
-        whole = b"".join(out)
-        if len(self) < REMEMBERED:
-            self[part] = whole
-        return whole
-
-    def ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            if rest and (not first or first[-1].isspace()):
-                raise _Odd
-            return self.packed(first) + b"".join(map(self.__getitem__, rest))
-        except _Odd:
-            return self.packed(text)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+
+        def code(word: str) -> bytes:
+            ids = tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        _MADE[path] = Parts(regex.compile(public_tokenizers.PATTERN).findall, code, {}, REMEMBERED)
+    return _MADE[path]
 
 
 def cut_points(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -206,11 +165,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """Per piece: doc_id, piece, start, length, ids_crc32. A null text is empty and so one piece of the end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
+        parts, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text) + end
+                ids = parts.text(text) + end
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(cut_points(len(ids) // 4, capacity))]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())

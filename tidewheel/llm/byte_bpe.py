@@ -31,7 +31,7 @@ from .parts import Parts
 #: Words in the dictionary, at most.
 DICTIONARY = 1 << 16
 #: Words and parts of texts that a worker remembers, at most, and words it counts before it tells.
-REMEMBERED, COUNTED = 600_000, 400_000
+REMEMBERED, COUNTED = 300_000, 300_000
 #: Buckets of the rank map.
 BUCKETS = 1 << 16
 
@@ -61,15 +61,16 @@ class Coder:
             buckets[s] = (buckets[s] or {}) | {d: n}
         self.buckets = _literal(buckets, "array<map<string,int>>")
 
-    def rank(self, digits: Column) -> Column:
-        return F.try_element_at(F.get(self.buckets, (F.crc32(digits.cast("binary")) % BUCKETS).cast("int")), digits)
+    @staticmethod
+    def _rank(buckets: Column, digits: Column) -> Column:
+        return F.try_element_at(F.get(buckets, (F.crc32(digits.cast("binary")) % BUCKETS).cast("int")), digits)
 
-    def _fold(self, digits: Column) -> Column:
+    def _fold(self, buckets: Column, digits: Column) -> Column:
         """Ids of a word given by its bytes' digits. The accumulator holds the parts and the ranks of neighbours, of
         which a merge changes two."""
-        size = (F.length(digits) / 2).cast("int")
+        size, rank = (F.length(digits) / 2).cast("int"), lambda x: self._rank(buckets, x)
         parts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-        start = let(parts, lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(0), size - 2), lambda i: self.rank(F.concat(F.get(p, i), F.get(p, i + 1)))).alias("r")))
+        start = let(parts, lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1)))).alias("r")))
 
         def merge(acc: Column, _: Column) -> Column:
             def at(low: Column) -> Column:
@@ -77,8 +78,8 @@ class Coder:
                     """i: the place of the left one, from 0."""
                     p, r = acc["p"], acc["r"]
                     new = F.concat(F.get(p, i), F.get(p, i + 1))
-                    left = F.when(i > 0, F.array(self.rank(F.concat(F.get(p, i - 1), new)))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(i + 2 < F.size(p), F.array(self.rank(F.concat(new, F.get(p, i + 2))))).otherwise(F.array().cast("array<int>"))
+                    left = F.when(i > 0, F.array(rank(F.concat(F.get(p, i - 1), new)))).otherwise(F.array().cast("array<int>"))
+                    right = F.when(i + 2 < F.size(p), F.array(rank(F.concat(new, F.get(p, i + 2))))).otherwise(F.array().cast("array<int>"))
                     ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 1, F.lit(0))), left, right, F.slice(r, i + 3, F.size(r)))
                     return F.struct(F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p))).alias("p"), ranks.alias("r"))
 
@@ -87,15 +88,16 @@ class Coder:
             return let(F.array_min(acc["r"]), at)
 
         done = F.aggregate(F.sequence(F.lit(1), size - 1), start, merge)
-        return F.transform(done["p"], lambda x: self.rank(x))
+        return F.transform(done["p"], lambda x: rank(x))
 
     def ids(self, word: Column) -> Column:
-        """Ids of one word that isn't empty."""
+        """Ids of one word that isn't empty. The map is bound once; each mention of it would be a copy in the plan."""
 
-        def of(digits: Column) -> Column:
-            return let(self.rank(digits), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(self._fold(digits)))
+        def of(b: Column) -> Column:
+            folded = lambda d: let(self._rank(b, d), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(self._fold(b, d)))
+            return let(F.hex(F.encode(word, "UTF-8")), folded)
 
-        return let(F.hex(F.encode(word, "UTF-8")), of)
+        return let(self.buckets, of)
 
     def dictionary(self, docs: DataFrame, size: int = DICTIONARY) -> dict[str, bytes]:
         """The most frequent distinct words of all documents and their ids, folded by Spark; size bounds it."""

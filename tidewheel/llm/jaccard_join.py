@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
@@ -73,13 +73,33 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A set as a bitmap of 4 to 8 bits for each member, a power of two of them."""
+    bits = max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_overlap(a: bytes, n_a: int, b: bytes, n_b: int, percent: int = PERCENT) -> bool:
+    """False if the bitmaps prove that the sets share too little: a bit that only one has is a member that the other
+    lacks. The wider bitmap is folded to the other's width."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    t = need(n_a, n_b, percent)
+    return int(np.bitwise_count(x & ~y).sum()) <= n_a - t and int(np.bitwise_count(y & ~x).sum()) <= n_b - t
+
+
 def crowded_cells(docs: DataFrame) -> np.ndarray:
     """Which cells hold unusually many of all documents' shingles; cells are a fixed number, however large the corpus."""
     size = 1 << CELL_BITS
     part = size // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total, task = Hashes(), np.zeros(size, np.uint32), 0
+        hashes, total, task = Hashes.of_worker(), np.zeros(size, np.uint32), 0
         for batch in batches:
             task = batch.column(0)[0].as_py() if batch.num_rows else task
             texts = batch.column(1).to_pylist()
@@ -108,15 +128,15 @@ def crowded_cells(docs: DataFrame) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
-    """Per row: doc_id, n (the set's size), node, prefix, and for small sets all of their shingles."""
+    """Per row: doc_id, n (the set's size), node, prefix, for small sets all of their shingles, and the bitmap."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(crowded))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, hashes = np.unpackbits(bits.value).astype(bool), Hashes()
+        late, hashes = np.unpackbits(bits.value).astype(bool), Hashes.of_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                n, nodes, prefixes, smalls = [], [], [], []
+                n, nodes, prefixes, smalls, maps = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingle_set(text, hashes)
                     last = late[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
@@ -124,10 +144,11 @@ def set_rows(docs: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
                     nodes.append(node_of(s))
                     prefixes.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
                     smalls.append(s.view(np.int64) if len(s) <= MAX_LIGHT else None)
+                    maps.append(bitmap(s))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, longs), pa.array(smalls, longs)], ["doc_id", "n", "node", "prefix", "small"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, longs), pa.array(smalls, longs), pa.array(maps, pa.binary())], ["doc_id", "n", "node", "prefix", "small", "map"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary")).mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, small array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary")).mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, small array<long>, map binary")
 
 
 def light_boundary(nodes: DataFrame, percent: int) -> int:
@@ -146,7 +167,7 @@ def light_boundary(nodes: DataFrame, percent: int) -> int:
 
 
 def groups(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """key, node, n: those with a common key may link."""
+    """key, node, n, pos (place in the prefix): those with a common key may link."""
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,20 +181,35 @@ def groups(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
             node, n = (pa.array(list(c), pa.int64()) for c in columns)
             yield pa.RecordBatch.from_arrays([signed(np.frombuffer(b"".join(keys), np.uint64)), node, n], ["key", "node", "n"])
 
-    lists = nodes.filter(F.col("n") * 100 >= percent * (boundary + 1)).select(F.explode("prefix").alias("key"), "node", "n")
-    light = nodes.filter((F.col("n") > 0) & (F.col("n") <= boundary)).select("node", "n", "small").mapInArrow(subsets, "key long, node long, n long")
+    lists = nodes.filter(F.col("n") * 100 >= percent * (boundary + 1)).select(F.posexplode("prefix").alias("pos", "key"), "node", "n").select("key", "node", "n", "pos")
+    light = nodes.filter((F.col("n") > 0) & (F.col("n") <= boundary)).select("node", "n", "small").mapInArrow(subsets, "key long, node long, n long").withColumn("pos", F.lit(0))
     return lists.unionByName(light)
 
 
-def may_link(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def may_link(n: str, pos: str, other_n: str, other_pos: str, percent: int) -> Column:
+    """By size, and by place: a pair that links shares a shingle among the first n - need + 1 of both."""
+    t = F.ceil(F.lit(percent) * (F.col(n) + F.col(other_n)) / (100 + percent))
+    return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent) & (F.col(pos) <= F.col(n) - t) & (F.col(other_pos) <= F.col(other_n) - t)
+
+
+def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps (node, n, map) don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_overlap(x, n, y, m, percent) for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    side = lambda c: maps.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("map").alias(f"{c}_map"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "a_n", "a_map", "b_n", "b_map").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Hashes(), (None, None)
+        hashes, known = Hashes.of_worker(), (None, None)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -223,24 +259,32 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lows = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     lows = saved(lows, "join-nodes")
     again = lows.filter("rows > 1").select(F.col("node").alias("_node"), "low")
-    listed = rows.filter("n > 0").join(again, F.col("node") == F.col("_node"), "left").filter(F.col("low").isNull() | (F.col("doc_id") == F.col("low"))).select("node", "n", "prefix", "small")
-    members = groups(listed, light_boundary(listed, percent), percent)
+    if again.count() <= BROADCAST_IDS:
+        again = F.broadcast(again)
+    listed = rows.filter("n > 0").join(again, F.col("node") == F.col("_node"), "left").filter(F.col("low").isNull() | (F.col("doc_id") == F.col("low")))
+    members = groups(listed.select("node", "n", "prefix", "small"), light_boundary(listed, percent), percent)
     heads = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
     active = saved(members.join(heads, "key"), "join-groups")
     # The first round's pivot is each group's least node.
-    head_size = active.filter("node = head").select("key", F.col("n").alias("head_n")).distinct()
-    pairs = active.join(head_size, "key").filter("node <> head").filter(may_link("n", "head_n", percent)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = active.filter("node = head").select("key", F.col("n").alias("head_n"), F.col("pos").alias("head_pos")).distinct()
+    pairs = active.join(first, "key").filter("node <> head").filter(may_link("n", "pos", "head_n", "head_pos", percent)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = saved(pairs, "join-pairs")
-    wanted = active.select("node").distinct().join(lows.select("node", "low"), "node")
-    texts = saved(_texts(docs, wanted, percent), "join-texts")
-    links = saved(verified(pairs, texts, percent), "join-links")
+    maps = saved(listed.select("node", "n", "map").join(active.select("node").distinct(), "node", "left_semi"), "join-maps")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link: by bitmap first, then by text."""
+        left = saved(possible(pairs, maps, percent), "join-possible")
+        wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(lows.select("node", "low"), "node")
+        return saved(verified(left, saved(_texts(docs, wanted), "join-texts"), percent), "join-links")
+
+    links = linked(pairs)
     tried, labels = pairs, components(links)
     active = active.filter("node <> head").drop("head")
     while True:
         active, pairs = _next_round(active, labels, tried, percent)
         if active is None:
             break
-        new = saved(verified(pairs, texts, percent), "join-links")
+        new = linked(pairs)
         tried = saved(tried.unionByName(pairs), "join-pairs")
         if not new.isEmpty():
             links = links.unionByName(new)
@@ -252,14 +296,14 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select("doc_id", "n", "node").join(ids, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the wanted nodes (node, low)."""
-    few = wanted.count() <= BROADCAST_IDS
     wanted = wanted.select("node", "low")
+    few = wanted.count() <= BROADCAST_IDS
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that share a doc_id but not a text drop out here."""
-        hashes = Hashes()
+        hashes = Hashes.of_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -283,8 +327,8 @@ def _next_round(active: DataFrame, labels: DataFrame, tried: DataFrame, percent:
     strays = named.join(most, "key").filter("label <> main")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
     pivots = strays.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(PIVOTS), F.floor(F.lit(FREE_PAIRS) / F.col("m"))))
-    pivots = saved(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label")), "join-pivots")
-    met = named.join(pivots, "key").filter("label <> p_label and node <> p").filter(may_link("n", "p_n", percent))
+    pivots = saved(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("label").alias("p_label")), "join-pivots")
+    met = named.join(pivots, "key").filter("label <> p_label and node <> p").filter(may_link("n", "pos", "p_n", "p_pos", percent))
     pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = named.drop("label").join(pivots.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti")
     return saved(rest, "join-active"), saved(pairs, "join-pairs")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,20 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hashes(dict):
-    """Word -> 64-bit hash."""
+    """Word -> 64-bit hash, remembered for all tasks of a worker process until there are REMEMBERED."""
+
+    _made: ClassVar[list[Hashes]] = []
+
+    @classmethod
+    def of_worker(cls) -> Hashes:
+        if not cls._made:
+            cls._made.append(cls())
+        return cls._made[0]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < REMEMBERED:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -101,7 +110,7 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Per row: doc_id, n_words, digest of its words, and the hashes of its anchors (each once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes.of_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -132,7 +141,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     by_doc = saved(own.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "dedup-shared")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes.of_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, 100):
                 batch = whole.slice(at, 100)

@@ -31,7 +31,7 @@ from .parts import Parts
 #: Words in the dictionary, at most.
 DICTIONARY = 1 << 16
 #: Words and parts of texts that a worker remembers, at most, and words it counts before it tells.
-REMEMBERED, COUNTED = 300_000, 300_000
+REMEMBERED, COUNTED = 450_000, 400_000
 #: Buckets of the rank map.
 BUCKETS = 1 << 16
 
@@ -128,15 +128,23 @@ class Coder:
 
 def merged(word: str, ranks: dict[bytes, int]) -> bytes:
     """Ids of one word by the rule of the fold, for words outside the dictionary."""
+    code = word.encode()
+    if code in ranks:
+        return struct.pack("<I", ranks[code])
     rank = ranks.get
-    parts = [bytes((b,)) for b in word.encode()]
-    while len(parts) > 1:
-        pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    parts = [code[k : k + 1] for k in range(len(code))]
+    pairs = [rank(code[k : k + 2], _NONE) for k in range(len(code) - 1)]
+    while pairs:
         low = min(pairs)
         if low == _NONE:
             break
         at = pairs.index(low)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = rank(parts[at - 1] + parts[at], _NONE)
+        if at < len(pairs):
+            pairs[at] = rank(parts[at] + parts[at + 1], _NONE)
     return struct.pack(f"<{len(parts)}I", *map(ranks.__getitem__, parts))
 
 

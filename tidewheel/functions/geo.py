@@ -17,7 +17,8 @@ def haversine_km(lat: Column, long: Column, at_lat: float, at_long: float) -> Co
     dlat = F.radians(lat - F.lit(float(at_lat))) / 2
     dlong = F.radians(long - F.lit(float(at_long))) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat)) * F.lit(math.cos(math.radians(at_lat))) * F.sin(dlong) * F.sin(dlong)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() would skip a null.
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def micro_km(km: Column) -> Column:

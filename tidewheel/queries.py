@@ -39,10 +39,10 @@ inst AS (SELECT occ.event_uid, occ.occurs AS dtstart_ts, coalesce(ov.duration_s,
   FROM occ LEFT JOIN ov ON ov.event_uid = occ.event_uid AND ov.occurrence_ts = occ.occurs)
 """
 _KM = (
-    "CAST(12742.0176 AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt(sin(radians(lat - CAST({lat} AS DOUBLE)) / 2) * sin(radians(lat - CAST({lat} AS DOUBLE)) / 2)"
-    " + cos(radians(lat)) * cos(radians(CAST({lat} AS DOUBLE))) * sin(radians(long - CAST({long} AS DOUBLE)) / 2) * sin(radians(long - CAST({long} AS DOUBLE)) / 2))))"
+    "CASE WHEN lat IS NOT NULL AND long IS NOT NULL THEN CAST(12742.0176 AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt(sin(radians(lat - CAST({lat} AS DOUBLE)) / 2) * sin(radians(lat - CAST({lat} AS DOUBLE)) / 2)"
+    " + cos(radians(lat)) * cos(radians(CAST({lat} AS DOUBLE))) * sin(radians(long - CAST({long} AS DOUBLE)) / 2) * sin(radians(long - CAST({long} AS DOUBLE)) / 2)))) END"
 ).format(lat=LAT, long=LONG)
-_MICRO = f"CAST(floor({_KM} * 1000000) AS BIGINT)"
+_MICRO = f"CAST(floor(({_KM}) * 1000000) AS BIGINT)"
 _EVI_SQL = "event_uid, dtstart_ts, dtend_ts, has_override, array_to_string(list_sort(categories), ',') AS categories, class, lat, long"
 _EVT_SQL = "event_uid, dtstart_ts, array_to_string(list_sort(categories), ',') AS categories, class, lat, long"
 
@@ -68,12 +68,12 @@ CONDITIONS: dict[str, tuple[Callable[[], Column], str]] = {
     "related_to_not": (lambda: ~p.related_to("CUST-7"), "parent <> 'CUST-7'"),
     "uid": (lambda: p.uid_in("ORD-1", "ORD-5", "ORD-33"), "event_uid IN ('ORD-1', 'ORD-5', 'ORD-33')"),
     "uid_not": (lambda: ~p.uid_in("ORD-1"), "event_uid <> 'ORD-1'"),
-    "geo_km": (lambda: p.within(LAT, LONG, 1500), f"coalesce({_KM} <= 1500, FALSE)"),
-    "geo_mi": (lambda: p.within(LAT, LONG, 900, "MI"), f"coalesce({_KM} <= CAST(1448.4096 AS DOUBLE), FALSE)"),
-    "geo_not": (lambda: ~p.within(LAT, LONG, 5000), f"NOT coalesce({_KM} <= 5000, FALSE)"),
+    "geo_km": (lambda: p.within(LAT, LONG, 1500), f"coalesce(({_KM}) <= 1500, FALSE)"),
+    "geo_mi": (lambda: p.within(LAT, LONG, 900, "MI"), f"coalesce(({_KM}) <= CAST(1448.4096 AS DOUBLE), FALSE)"),
+    "geo_not": (lambda: ~p.within(LAT, LONG, 5000), f"NOT coalesce(({_KM}) <= 5000, FALSE)"),
     "group_nested": (
         lambda: group([p.has_categories("BUILDING"), "OR", [p.is_class("PUBLIC"), "AND", ~p.has_location_types("ONLINE")], "AND", [p.within(LAT, LONG, 6000), "OR", p.has_categories("RF_R")]]),
-        f"(list_contains(categories, 'BUILDING') OR (class = 'PUBLIC' AND NOT list_contains(location_type, 'ONLINE'))) AND (coalesce({_KM} <= 6000, FALSE) OR list_contains(categories, 'RF_R'))",
+        f"(list_contains(categories, 'BUILDING') OR (class = 'PUBLIC' AND NOT list_contains(location_type, 'ONLINE'))) AND (coalesce(({_KM}) <= 6000, FALSE) OR list_contains(categories, 'RF_R'))",
     ),
 }
 

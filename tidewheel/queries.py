@@ -48,11 +48,12 @@ _EVT_SQL = "event_uid, dtstart_ts, array_to_string(list_sort(categories), ',') A
 
 
 def _evi(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("event_uid", "dtstart_ts", "dtend_ts", "has_override", ical.show_list(F.col("categories")).alias("categories"), "class", F.col("geo.lat").alias("lat"), F.col("geo.long").alias("long"), *more)
+    """What queries show of an instance; a distance from nowhere as -1."""
+    return df.fillna(-1, ["dist_micro"] if more else []).select("event_uid", "dtstart_ts", "dtend_ts", "has_override", ical.show_list(F.col("categories")).alias("categories"), "class", F.col("geo.lat").alias("lat"), F.col("geo.long").alias("long"), *more)
 
 
 def _evt(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("event_uid", "dtstart_ts", ical.show_list(F.col("categories")).alias("categories"), "class", F.col("geo.lat").alias("lat"), F.col("geo.long").alias("long"), *more)
+    return df.fillna(-1, ["dist_micro"] if more else []).select("event_uid", "dtstart_ts", ical.show_list(F.col("categories")).alias("categories"), "class", F.col("geo.lat").alias("lat"), F.col("geo.long").alias("long"), *more)
 
 
 #: Conditions by name: as columns and as SQL. None has a limit.
@@ -112,7 +113,7 @@ _add(
     "evi_range_page", lambda s, d: _instances(Query(where=p.has_categories("BUILDING"), after=Bound(T1, "GTE"), before=Bound(T2, "LT"), limit=40))(s, d),
     f"SELECT {_EVI_SQL} FROM inst WHERE list_contains(categories, 'BUILDING') AND dtstart_ts >= {T1} AND dtstart_ts < {T2} {_PAGE_SQL.format(40, 0)}",
 )
-_add("evi_order_dtstart_geo", _instances(Query(order=BY_START_THEN_DISTANCE, place=(LAT, LONG)), "dist_micro"), f"SELECT {_EVI_SQL}, {_MICRO} AS dist_micro FROM inst ORDER BY inst.dtstart_ts, dist_micro NULLS FIRST, event_uid LIMIT 50")
+_add("evi_order_dtstart_geo", _instances(Query(order=BY_START_THEN_DISTANCE, place=(LAT, LONG)), "dist_micro"), f"SELECT {_EVI_SQL}, coalesce({_MICRO}, -1) AS dist_micro FROM inst ORDER BY inst.dtstart_ts, dist_micro, event_uid LIMIT 50")
 _add("evi_order_geo_dtstart", _instances(Query(order=BY_DISTANCE_THEN_START, place=(LAT, LONG)), "dist_micro"), f"SELECT {_EVI_SQL}, {_MICRO} AS dist_micro FROM inst WHERE lat IS NOT NULL ORDER BY dist_micro, inst.dtstart_ts, event_uid LIMIT 50")
 _add("evi_distinct_uid", _instances(Query(distinct=True, limit=None)), f"SELECT {_EVI_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY event_uid ORDER BY dtstart_ts) AS rn FROM inst) WHERE rn = 1")
 _add("evi_distinct_page", _instances(Query(distinct=True, offset=10, limit=25)), f"SELECT {_EVI_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY event_uid ORDER BY dtstart_ts) AS rn FROM inst) WHERE rn = 1 {_PAGE_SQL.format(25, 10)}")
@@ -131,7 +132,7 @@ _add(
 )
 _add("evt_default", _events(Query()), f"SELECT {_EVT_SQL} FROM ev ORDER BY dtstart_ts, event_uid LIMIT 50")
 _add("evt_page", _events(Query(offset=75, limit=25)), f"SELECT {_EVT_SQL} FROM ev ORDER BY dtstart_ts, event_uid LIMIT 25 OFFSET 75")
-_add("evt_order_dtstart_geo", _events(Query(order=BY_START_THEN_DISTANCE, place=(LAT, LONG)), "dist_micro"), f"SELECT {_EVT_SQL}, {_MICRO} AS dist_micro FROM ev ORDER BY ev.dtstart_ts, dist_micro NULLS FIRST, event_uid LIMIT 50")
+_add("evt_order_dtstart_geo", _events(Query(order=BY_START_THEN_DISTANCE, place=(LAT, LONG)), "dist_micro"), f"SELECT {_EVT_SQL}, coalesce({_MICRO}, -1) AS dist_micro FROM ev ORDER BY ev.dtstart_ts, dist_micro, event_uid LIMIT 50")
 _add("evt_order_geo_dtstart", _events(Query(order=BY_DISTANCE_THEN_START, place=(LAT, LONG)), "dist_micro"), f"SELECT {_EVT_SQL}, {_MICRO} AS dist_micro FROM ev WHERE lat IS NOT NULL ORDER BY dist_micro, ev.dtstart_ts, event_uid LIMIT 50")
 _add("evt_range", _events(Query(after=Bound(T1, "GTE"), before=Bound(T2, "LT"), limit=None)), f"SELECT {_EVT_SQL} FROM ev WHERE dtstart_ts >= {T1} AND dtstart_ts < {T2}")
 _add("evt_range_dtend", _events(Query(after=Bound(T1, "GTE", "DTEND"), before=Bound(T2, "LTE", "DTEND"), limit=None)), f"SELECT {_EVT_SQL} FROM ev WHERE has_end AND dtstart_ts + dur >= {T1} AND dtstart_ts + dur <= {T2}")
@@ -266,4 +267,4 @@ _add(
     """SELECT event_uid, CAST(epoch(timezone('America/New_York', l)) AS BIGINT) AS dtstart_ts, strftime(l, '%Y%m%dT%H%M%S') AS dtstart FROM (SELECT event_uid, timezone('America/New_York', to_timestamp(dtstart_ts)) + to_days(CAST(100 * k AS INTEGER)) AS l FROM (SELECT *, unnest(range(4)) AS k FROM ev))""",
 )
 _add("evi_unbounded_page", lambda s, d: _evi(query_instances(_with_rule(s, d, count=F.lit(None)), orders.overrides(s, d), Query(after=Bound(T1, "GTE"), limit=60))), f", o2 AS (SELECT ev.*, dtstart_ts + k * step * 86400 AS occurs FROM (SELECT *, unnest(range(greatest(0, (820454400 - dtstart_ts) // (step * 86400)), greatest(0, (820454400 - dtstart_ts) // (step * 86400)) + 5)) AS k FROM ev) ev WHERE dtstart_ts + k * step * 86400 BETWEEN {T1} AND {T1 + 3 * DAY}), i2 AS (SELECT o2.event_uid, o2.occurs AS dtstart_ts, o2.occurs + coalesce(ov.duration_s, o2.dur) AS dtend_ts, ov.event_uid IS NOT NULL AS has_override, coalesce(ov.categories, o2.categories) AS categories, class, CASE WHEN coalesce(ov.geo_overridden, FALSE) THEN NULL ELSE lat END AS lat, CASE WHEN coalesce(ov.geo_overridden, FALSE) THEN NULL ELSE long END AS long FROM o2 LEFT JOIN ov ON ov.event_uid = o2.event_uid AND ov.occurrence_ts = o2.occurs) SELECT {_EVI_SQL} FROM i2 {_PAGE_SQL.format(60, 0)}")
-_add("haversine_micro", lambda s, d: orders.events(s, d).select("event_uid", geo.micro_km(geo.haversine_km(F.col("geo.lat"), F.col("geo.long"), LAT, LONG)).alias("dist_micro")), f"SELECT event_uid, {_MICRO} AS dist_micro FROM ev")
+_add("haversine_micro", lambda s, d: orders.events(s, d).select("event_uid", geo.micro_km(geo.haversine_km(F.col("geo.lat"), F.col("geo.long"), LAT, LONG)).alias("dist_micro")).fillna(-1, ["dist_micro"]), f"SELECT event_uid, coalesce({_MICRO}, -1) AS dist_micro FROM ev")

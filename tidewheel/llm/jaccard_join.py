@@ -17,10 +17,10 @@ link between different texts is either found or inside a component that other li
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ CELL_BITS, CHUNKS = 20, 16
 DEVIATIONS, ABOVE = 6, 32
 #: Sizes that may be light.
 MAX_LIGHT = 24
-#: Comparisons of a group in one round: all its pairs up to this many, and PIVOTS for each member beyond.
-FREE_PAIRS, PIVOTS = 2048, 4
+#: Comparisons of a group in the first round after the heads: all its pairs up to this many, and PIVOTS for each
+#: member beyond; each later round allows so many times more, since what didn't merge by then seldom does.
+FREE_PAIRS, PIVOTS, GROWTH = 4096, 8, 4
 #: Ids that are broadcast to fetch their texts, at most; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -174,7 +175,7 @@ def groups(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
             out, keys = [], []
             for node, n, small in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for t in subset_sizes(n, boundary, percent):
-                    new = [hashlib.blake2b(np.array(c, np.int64).tobytes(), digest_size=8, salt=b"%d" % t).digest() for c in combinations(small, t)]
+                    new = [hashlib.blake2b(np.array(c, np.int64).tobytes(), digest_size=8, salt=b"%d" % t).digest() for c in itertools.combinations(small, t)]
                     keys += new
                     out += [(node, n)] * len(new)
             columns = zip(*out, strict=True) if out else [[], []]
@@ -263,8 +264,8 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         again = F.broadcast(again)
     listed = rows.filter("n > 0").join(again, F.col("node") == F.col("_node"), "left").filter(F.col("low").isNull() | (F.col("doc_id") == F.col("low")))
     members = groups(listed.select("node", "n", "prefix", "small"), light_boundary(listed, percent), percent)
-    heads = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
-    active = saved(members.join(heads, "key"), "join-groups")
+    heads = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
+    active = saved(_one_per_membership(members.join(heads.select("key"), "key")), "join-groups")
     # The first round's pivot is each group's least node.
     first = active.filter("node = head").select("key", F.col("n").alias("head_n"), F.col("pos").alias("head_pos")).distinct()
     pairs = active.join(first, "key").filter("node <> head").filter(may_link("n", "pos", "head_n", "head_pos", percent)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -280,8 +281,8 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = linked(pairs)
     tried, labels = pairs, components(links)
     active = active.filter("node <> head").drop("head")
-    while True:
-        active, pairs = _next_round(active, labels, tried, percent)
+    for k in itertools.count():
+        active, pairs = _next_round(active, labels, tried, percent, GROWTH**k)
         if active is None:
             break
         new = linked(pairs)
@@ -296,6 +297,15 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select("doc_id", "n", "node").join(ids, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _one_per_membership(groups: DataFrame) -> DataFrame:
+    """key, node, n, pos, head: of groups with the same nodes one stays, with each node's least place in any of them.
+    A passage that a family of texts shares makes many such groups."""
+    per = groups.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    stays = per.groupBy("c", "x", "lo", "hi").agg(F.min("key").alias("one"))
+    named = per.join(stays, ["c", "x", "lo", "hi"]).select("key", "one", F.col("lo").alias("head"))
+    return groups.join(named, "key").groupBy(F.col("one").alias("key"), "node", "head").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the wanted nodes (node, low)."""
     wanted = wanted.select("node", "low")
@@ -315,7 +325,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.dropDuplicates(["node"]) if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty() else out
 
 
-def _next_round(active: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _next_round(active: DataFrame, labels: DataFrame, tried: DataFrame, percent: int, times: int) -> tuple[DataFrame | None, DataFrame | None]:
     """The groups that still have members of different components, and the pairs that their pivots ask for."""
     named = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
@@ -326,7 +336,7 @@ def _next_round(active: DataFrame, labels: DataFrame, tried: DataFrame, percent:
     most = per.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("m"))
     strays = named.join(most, "key").filter("label <> main")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    pivots = strays.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(PIVOTS), F.floor(F.lit(FREE_PAIRS) / F.col("m"))))
+    pivots = strays.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(PIVOTS * times), F.floor(F.lit(FREE_PAIRS * times) / F.col("m"))))
     pivots = saved(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("label").alias("p_label")), "join-pivots")
     met = named.join(pivots, "key").filter("label <> p_label and node <> p").filter(may_link("n", "pos", "p_n", "p_pos", percent))
     pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

@@ -198,7 +198,9 @@ def _rule_starts(events: DataFrame, rule: str, kinds: _Kinds, until: int | None,
     # By COUNT or a cap alone a rule may run this far.
     counted = F.least(F.coalesce(r["count"], F.lit(1 << 30)), F.lit(cap or 1 << 30))
     rare = F.when(r["freq"].isin("MONTHLY", "YEARLY") | (F.coalesce(F.size(r["bymonth"]), F.lit(0)) > 0), STEPS_EACH).otherwise(2)
-    far = F.greatest(F.col("dtstart_ts"), F.lit(low)) + _per_step(r) * (F.greatest(counted, F.lit(1)) + 1) * rare
+    # Steps of less than a day may be chosen on some hours only.
+    step = F.when(_chooses(r), F.greatest(_per_step(r), F.lit(DAY))).otherwise(_per_step(r))
+    far = F.greatest(F.col("dtstart_ts"), F.lit(low)) + step * (F.greatest(counted, F.lit(1)) + 1) * rare
     ends = [F.when(r["count"].isNotNull() | F.lit(cap is not None), far), r["until_ts"]] + ([F.lit(until)] if until is not None else [])
     start = F.struct(to_local(F.col("dtstart_ts"), tz).alias("s"), to_local(F.least(*ends), tz).alias("e"), (to_local(F.lit(low), tz) if low is not None else F.col("dtstart_ts") - 2 * DAY).alias("l"))
     # Through a one-element array: conversions between zones are then written once, not at each use.

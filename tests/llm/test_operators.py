@@ -228,7 +228,10 @@ def test_jaccard_filters_lose_no_pair():
         y = np.unique(np.concatenate([x[: rng.integers(0, n + 1)], rng.choice(1 << 60, m, replace=False).astype(np.uint64)]))[: max(1, m)]
         o = len(np.intersect1d(x, y))
         if 100 * o >= 85 * (len(x) + len(y) - o):
-            assert o >= jaccard_join.need(len(x), len(y)) and jaccard_join.may_overlap(jaccard_join.bitmap(x), len(x), jaccard_join.bitmap(y), len(y))
+            a, b = jaccard_join.sketch(x), jaccard_join.sketch(y)
+            assert o >= jaccard_join.need(len(x), len(y)) and jaccard_join.may_overlap(a.tobytes(), len(x), b.tobytes(), len(y))
+            brief = [jaccard_join.folded(s, jaccard_join.BRIEF).tobytes() for s in (a, b)]
+            assert jaccard_join.may_overlap(brief[0], len(x), brief[1], len(y))
             px, py = np.sort(x)[: jaccard_join.prefix_length(len(x))], np.sort(y)[: jaccard_join.prefix_length(len(y))]
             assert len(np.intersect1d(px, py))
 

@@ -40,6 +40,8 @@ MAX_LIGHT = 24
 #: Comparisons of a group in the first round after the heads: all its pairs up to this many, and PIVOTS for each
 #: member beyond; each later round allows so many times more, since what didn't merge by then seldom does.
 FREE_PAIRS, PIVOTS, GROWTH = 4096, 8, 4
+#: 64-bit words of the brief sketch, which groups carry.
+BRIEF = 4
 #: Ids that are broadcast to fetch their texts, at most; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -74,24 +76,24 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A set as a bitmap of 4 to 8 bits for each member, a power of two of them."""
-    bits = max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64
-    out = np.zeros(bits, bool)
-    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set: each member flips the bit that its hash names, of 2 to 4 bits a member, a power of two."""
+    bits = max(64 * BRIEF, 1 << (2 * len(s)).bit_length())
+    flips = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A sketch as one of fewer words has it."""
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
 
 
 def may_overlap(a: bytes, n_a: int, b: bytes, n_b: int, percent: int = PERCENT) -> bool:
-    """False if the bitmaps prove that the sets share too little: a bit that only one has is a member that the other
-    lacks. The wider bitmap is folded to the other's width."""
+    """False if the sketches prove that the sets share too little: a bit in which they differ takes a member that only
+    one has, so there are at least as many of these."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    t = need(n_a, n_b, percent)
-    return int(np.bitwise_count(x & ~y).sum()) <= n_a - t and int(np.bitwise_count(y & ~x).sum()) <= n_b - t
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= n_a + n_b - 2 * need(n_a, n_b, percent)
 
 
 def crowded_cells(docs: DataFrame) -> np.ndarray:
@@ -129,7 +131,8 @@ def crowded_cells(docs: DataFrame) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
-    """Per row: doc_id, n (the set's size), node, prefix, for small sets all of their shingles, and the bitmap."""
+    """Per row: doc_id, n (the set's size), node, prefix, for small sets all of their shingles, the sketch, and the
+    sketch in BRIEF words."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(crowded))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,7 @@ def set_rows(docs: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                n, nodes, prefixes, smalls, maps = [], [], [], [], []
+                n, nodes, prefixes, smalls, sketches, briefs = [], [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingle_set(text, hashes)
                     last = late[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
@@ -145,11 +148,13 @@ def set_rows(docs: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
                     nodes.append(node_of(s))
                     prefixes.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
                     smalls.append(s.view(np.int64) if len(s) <= MAX_LIGHT else None)
-                    maps.append(bitmap(s))
+                    x = sketch(s)
+                    sketches.append(x.tobytes())
+                    briefs.append(folded(x, BRIEF).view(np.int64))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, longs), pa.array(smalls, longs), pa.array(maps, pa.binary())], ["doc_id", "n", "node", "prefix", "small", "map"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, longs), pa.array(smalls, longs), pa.array(sketches, pa.binary()), pa.array(briefs, longs)], ["doc_id", "n", "node", "prefix", "small", "sketch", "brief"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary")).mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, small array<long>, map binary")
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary")).mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, small array<long>, sketch binary, brief array<long>")
 
 
 def light_boundary(nodes: DataFrame, percent: int) -> int:
@@ -187,23 +192,27 @@ def groups(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
     return lists.unionByName(light)
 
 
-def may_link(n: str, pos: str, other_n: str, other_pos: str, percent: int) -> Column:
-    """By size, and by place: a pair that links shares a shingle among the first n - need + 1 of both."""
-    t = F.ceil(F.lit(percent) * (F.col(n) + F.col(other_n)) / (100 + percent))
-    return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent) & (F.col(pos) <= F.col(n) - t) & (F.col(other_pos) <= F.col(other_n) - t)
+def may_link(other: str, percent: int) -> Column:
+    """Of a member and another whose columns begin with `other`: by size; by place, as a pair that links shares a
+    shingle among the first n - need + 1 of both; and by the brief sketches, which differ in no more bits than the
+    sets may in members."""
+    n, o_n = F.col("n"), F.col(f"{other}_n")
+    t = F.ceil(F.lit(percent) * (n + o_n) / (100 + percent))
+    differ = sum(F.bit_count(F.get("brief", F.lit(k)).bitwiseXOR(F.get(f"{other}_brief", F.lit(k)))) for k in range(BRIEF))
+    return (F.least(n, o_n) * 100 >= F.greatest(n, o_n) * percent) & (F.col("pos") <= n - t) & (F.col(f"{other}_pos") <= o_n - t) & (differ <= n + o_n - 2 * t)
 
 
-def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their bitmaps (node, n, map) don't rule out."""
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches (node, n, sketch) don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [may_overlap(x, n, y, m, percent) for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    side = lambda c: maps.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("map").alias(f"{c}_map"))
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "a_n", "a_map", "b_n", "b_map").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_n", "a_sketch", "b_n", "b_sketch").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -265,16 +274,18 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     listed = rows.filter("n > 0").join(again, F.col("node") == F.col("_node"), "left").filter(F.col("low").isNull() | (F.col("doc_id") == F.col("low")))
     members = groups(listed.select("node", "n", "prefix", "small"), light_boundary(listed, percent), percent)
     heads = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
-    active = saved(_one_per_membership(members.join(heads.select("key"), "key")), "join-groups")
+    grouped = saved(_one_per_membership(members.join(heads.select("key"), "key")), "join-groups")
+    sketches = listed.select("node", "n", "sketch", "brief").join(grouped.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sketches = saved(sketches, "join-sketches")
+    active = saved(grouped.join(sketches.select("node", "brief"), "node"), "join-active")
     # The first round's pivot is each group's least node.
-    first = active.filter("node = head").select("key", F.col("n").alias("head_n"), F.col("pos").alias("head_pos")).distinct()
-    pairs = active.join(first, "key").filter("node <> head").filter(may_link("n", "pos", "head_n", "head_pos", percent)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = active.filter("node = head").select("key", F.col("n").alias("head_n"), F.col("pos").alias("head_pos"), F.col("brief").alias("head_brief"))
+    pairs = active.join(first, "key").filter("node <> head").filter(may_link("head", percent)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = saved(pairs, "join-pairs")
-    maps = saved(listed.select("node", "n", "map").join(active.select("node").distinct(), "node", "left_semi"), "join-maps")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that link: by bitmap first, then by text."""
-        left = saved(possible(pairs, maps, percent), "join-possible")
+        """The pairs that link: by sketch first, then by text."""
+        left = saved(possible(pairs, sketches, percent), "join-possible")
         wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(lows.select("node", "low"), "node")
         return saved(verified(left, saved(_texts(docs, wanted), "join-texts"), percent), "join-links")
 
@@ -337,8 +348,8 @@ def _next_round(active: DataFrame, labels: DataFrame, tried: DataFrame, percent:
     strays = named.join(most, "key").filter("label <> main")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
     pivots = strays.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(PIVOTS * times), F.floor(F.lit(FREE_PAIRS * times) / F.col("m"))))
-    pivots = saved(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("label").alias("p_label")), "join-pivots")
-    met = named.join(pivots, "key").filter("label <> p_label and node <> p").filter(may_link("n", "pos", "p_n", "p_pos", percent))
+    pivots = saved(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("brief").alias("p_brief"), F.col("label").alias("p_label")), "join-pivots")
+    met = named.join(pivots, "key").filter("label <> p_label and node <> p").filter(may_link("p", percent))
     pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = named.drop("label").join(pivots.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti")
     return saved(rest, "join-active"), saved(pairs, "join-pairs")

@@ -273,8 +273,8 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         again = F.broadcast(again)
     listed = rows.filter("n > 0").join(again, F.col("node") == F.col("_node"), "left").filter(F.col("low").isNull() | (F.col("doc_id") == F.col("low")))
     members = groups(listed.select("node", "n", "prefix", "small"), light_boundary(listed, percent), percent)
-    heads = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
-    grouped = saved(_one_per_membership(members.join(heads.select("key"), "key")), "join-groups")
+    common = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    grouped = saved(_one_per_membership(saved(members.join(common, "key"), "join-common")), "join-groups")
     sketches = listed.select("node", "n", "sketch", "brief").join(grouped.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sketches = saved(sketches, "join-sketches")
     active = saved(grouped.join(sketches.select("node", "brief"), "node"), "join-active")
@@ -312,7 +312,7 @@ def _one_per_membership(groups: DataFrame) -> DataFrame:
     """key, node, n, pos, head: of groups with the same nodes one stays, with each node's least place in any of them.
     A passage that a family of texts shares makes many such groups."""
     per = groups.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    stays = per.groupBy("c", "x", "lo", "hi").agg(F.min("key").alias("one"))
+    stays = per.filter("lo < hi").groupBy("c", "x", "lo", "hi").agg(F.min("key").alias("one"))
     named = per.join(stays, ["c", "x", "lo", "hi"]).select("key", "one", F.col("lo").alias("head"))
     return groups.join(named, "key").groupBy(F.col("one").alias("key"), "node", "head").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
 

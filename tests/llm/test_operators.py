@@ -252,6 +252,16 @@ def test_resharding(spark, docs, empty, odd, tmp_path):
     assert touched and spark.read.parquet(str(tmp_path / "shards")).count() == 3000
 
 
+def test_a_layout_that_shrinks_leaves_no_old_folder(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text")).persist()
+    many.withColumn("slot", F.lit(0).cast("long")).withColumn("shard", F.pmod("doc_id", F.lit(4)).cast("int")).write.partitionBy("shard").parquet(path)
+    touched = resharding.rewrite(many, resharding.reshard(many, F.pmod("doc_id", F.lit(4)), 4, 3), path)
+    back = spark.read.parquet(path)
+    assert 3 in touched and {r[0] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+    assert sorted(r[0] for r in back.select("doc_id").collect()) == list(range(400))
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(2)
     for _ in range(30):

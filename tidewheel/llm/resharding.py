@@ -160,9 +160,11 @@ def _numbered(placed: DataFrame, new: int) -> DataFrame:
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Rewrites under path (one folder shard=N each) the shards that gain or lose a row, and no others.
 
-    docs' doc_id is unique here. Returns the shards it wrote."""
+    docs' doc_id is unique here. Folders of shards that lose all their rows are removed. Returns the shards that it
+    wrote or removed."""
     moved = placed.filter("shard <> old_shard")
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect()} & {r[0] for r in placed.select("shard").distinct().collect()})
+    touched = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect())
+    held = {r[0] for r in placed.select("shard").distinct().collect()}
     place = placed.filter(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("block").alias("_block"))
     out = docs.join(place, docs["doc_id"].eqNullSafe(place["_id"])).drop("_id").withColumnRenamed("_shard", "shard").withColumnRenamed("_slot", "slot")
     spark: SparkSession = docs.sparkSession
@@ -172,6 +174,12 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
         out.repartition("shard", "_block").drop("_block").write.mode("overwrite").partitionBy("shard").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    # Only now: docs may be read from these folders.
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for s in touched:
+        if s not in held:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+            folder.getFileSystem(conf).delete(folder, True)
     return touched
 
 

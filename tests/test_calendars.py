@@ -149,6 +149,32 @@ def test_rules_agree_with_dateutil(spark):
         assert sorted(got.get(f"E{k:03}", [])) == want, (s, r)
 
 
+def parsed(spark, bodies):
+    return parse_events(spark.createDataFrame([("C", k, b) for k, b in bodies.items()], "calendar_uid string, event_uid string, body string")).persist()
+
+
+def by_event(rows, column="occurrence_ts"):
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["event_uid"], []).append(r[column])
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_rare_rules_have_their_whole_count_and_page(spark):
+    start = dt.datetime(2021, 2, 1, 9)
+    rules = ["FREQ=DAILY;INTERVAL=1;BYDAY=MO;COUNT=10", "FREQ=DAILY;INTERVAL=1;BYMONTHDAY=1;COUNT=12", "FREQ=DAILY;INTERVAL=1;BYMONTH=1;COUNT=3", "FREQ=MONTHLY;INTERVAL=1;BYMONTH=1;COUNT=12", "FREQ=HOURLY;INTERVAL=1;BYMONTH=1;COUNT=3",
+             "FREQ=YEARLY;INTERVAL=1;BYMONTH=2;BYMONTHDAY=29;COUNT=3", "FREQ=MONTHLY;INTERVAL=1;BYDAY=FR;BYMONTHDAY=13;COUNT=9", "FREQ=DAILY;INTERVAL=1;BYMONTHDAY=1;UNTIL=20230101T090000Z", "FREQ=MONTHLY;INTERVAL=1;BYMONTH=2;BYMONTHDAY=30;COUNT=2"]
+    got = by_event(occurrences(parsed(spark, {f"E{k}": f"DTSTART:20210201T090000Z RRULE:{r}" for k, r in enumerate(rules)})))
+    for k, r in enumerate(rules[:-1]):
+        assert got[f"E{k}"] == [calendar.timegm(x.timetuple()) for x in rrulestr(r, dtstart=start)], r
+    assert "E8" not in got
+    page = parsed(spark, {"A": "DTSTART:20210201T090000Z RRULE:FREQ=DAILY;INTERVAL=1;BYDAY=MO", "B": "DTSTART:20210201T090000Z RRULE:FREQ=DAILY;INTERVAL=1;BYDAY=MO;COUNT=45"})
+    none = spark.createDataFrame([], OVERRIDES)
+    weeks = [ts("20210201T090000Z") + 7 * 86_400 * k for k in range(50)]
+    assert keys(query_instances(page.filter("event_uid = 'A'"), none, Query())) == [("A", t) for t in weeks]
+    assert keys(query_instances(page.filter("event_uid = 'B'"), none, Query())) == [("B", t) for t in weeks[:45]]
+
+
 def test_dates_in_and_out(spark):
     b = "DTSTART:20210101T000000Z RRULE:FREQ=DAILY;INTERVAL=1;COUNT=5 EXRULE:FREQ=DAILY;INTERVAL=2;COUNT=2 RDATE:20210201T000000Z,20210102T000000Z EXDATE:20210104T000000Z"
     rows = [("C", "A", b), ("C", "B", "DTSTART:20210101T000000Z"), ("C", "D", "DTSTART:20210101T000000Z RDATE:20210301T000000Z")]

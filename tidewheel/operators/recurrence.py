@@ -4,13 +4,16 @@ A rule steps through periods (seconds to years). Each step's candidates are gene
 the wall clock of DTSTART's zone, filtered by the BY parts, numbered where COUNT or BYSETPOS asks for it, and only
 then turned into UTC, so that 10:00 stays 10:00 across a change of clocks.
 
-Generation needs an end: UNTIL, the query's upper bound, COUNT, or a cap of occurrences for each event.
+Generation needs an end: UNTIL, the query's upper bound, COUNT, or a cap of occurrences for each event. By COUNT or a
+cap, a rule that chooses among its steps is followed in rounds, each over a longer span, until the event has its number
+or, by the rule's cycle, can't have more.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +21,16 @@ from pyspark.sql import functions as F
 from ..functions.ical import to_local, to_utc
 from ..model import DAY, EVENT_KEY, UNIT, WEEKDAYS
 
-#: A rule that COUNT or a cap ends, but that rarely has an occurrence, is followed for this many steps an occurrence.
+#: Steps an occurrence that a rule which rarely has one is followed for in the first round, and days an occurrence by a
+#: daily or weekly rule's part. They decide the time only.
 STEPS_EACH = 8
+DAYS_EACH = {"byday": 7, "bymonthday": 31, "byweekno": 366, "byyearday": 366, "bymonth": 366}
+#: How many times longer each round's span is than that of the round before.
+GROWTH = 8
+#: The end of 9999: iCalendar writes years with four digits.
+LAST = 253_402_300_799
+#: Seconds after which the calendar repeats: 400 years, which are whole weeks.
+CALENDAR_CYCLE = 146_097 * DAY
 _ROW = "_row"
 
 
@@ -112,26 +123,63 @@ def _per_step(rule: Column) -> Column:
     return unit.cast("long") * rule["interval"]
 
 
+def _some(values: Column) -> Column:
+    return F.coalesce(F.size(values) > 0, F.lit(False))
+
+
+def _is_sure(rule: Column) -> Column:
+    """Daily and weekly rules that have an occurrence in each of their steps."""
+    names = F.coalesce(F.forall(rule["byday"], lambda x: x.isin(*WEEKDAYS)), F.lit(True))
+    out = F.coalesce((rule["freq"] == "WEEKLY") & names | (rule["freq"] == "DAILY") & ~_some(rule["byday"]), F.lit(False))
+    for p in ("bymonthday", "bymonth", "byyearday", "byweekno", "bysetpos"):
+        out = out & ~_some(rule[p])
+    return out
+
+
+def _cycle(rule: Column) -> Column:
+    """Seconds after which an endless rule's occurrences repeat, as a double: none in one cycle means none ever."""
+    dated = rule["freq"].isin("MONTHLY", "YEARLY") | F.coalesce(F.exists(rule["byday"], lambda x: ~x.isin(*WEEKDAYS)), F.lit(False))
+    for p in ("bymonthday", "bymonth", "byyearday", "byweekno", "bysetpos"):
+        dated = dated | _some(rule[p])
+    step = _per_step(rule).cast("double")
+    # Multiples of the step that are whole days.
+    days = F.when(rule["freq"].isin("MONTHLY", "YEARLY"), rule["interval"] * F.lit(float(DAY))).when(step % DAY == 0, step).when(F.lit(float(DAY)) % step == 0, F.lit(float(DAY))).otherwise(step * DAY)
+    return F.when(dated, days * (CALENDAR_CYCLE // DAY)).when(_some(rule["byday"]), days * 7).when(_chooses(rule), days).otherwise(step)
+
+
+def _joint_cycle(rule: Column, exrule: Column) -> Column:
+    """A cycle of what a rule gives beside an EXRULE; both multiples of a day have their product in days."""
+    a, b = _cycle(rule), _cycle(exrule)
+    product = F.when((a % DAY == 0) & (b % DAY == 0), a * b / DAY).otherwise(a * b)
+    return F.when(exrule.isNull(), a).when(F.greatest(a, b) % F.least(a, b) == 0, F.greatest(a, b)).otherwise(product)
+
+
 def _plain_steps(rows: DataFrame, rule: Column) -> DataFrame:
     """Fixed steps without BY parts: each is an occurrence, so COUNT, the cap and the lower bound are arithmetic."""
     step = _per_step(rule)
     first = F.greatest(F.lit(0), F.ceil((F.col("_low") - F.col("_start")) / step)).cast("long")
     rows = rows.withColumns({"_step": step, "_first": first, "_steps": F.floor((F.col("_end") - F.col("_start")) / step)})
     # least() skips nulls, and a rule that is null must stay without steps.
-    last = F.when(F.col("_steps").isNotNull(), F.least("_steps", F.coalesce(rule["count"], F.lit(1 << 40)) - 1, F.col("_first") + F.col("_cap") - 1)).cast("long")
+    last = F.when(F.col("_step").isNotNull(), F.least("_steps", F.coalesce(rule["count"], F.lit(1 << 40)) - 1, F.col("_first") + F.col("_cap") - 1)).cast("long")
     out = rows.withColumn("_steps", last).filter("_steps >= _first").withColumn("_k", F.explode(F.sequence("_first", "_steps")))
     return out.select(_ROW, "tzid", (F.col("_start") + F.col("_k") * F.col("_step")).alias("_local"))
 
 
 def _chosen_steps(rows: DataFrame, rule: Column) -> DataFrame:
-    """Sub-daily steps with BY parts: candidates are filtered, then counted."""
-    step = _per_step(rule)
-    out = rows.withColumns({"_step": step, "_steps": F.floor((F.col("_end") - F.col("_start")) / step).cast("long")}).filter("_steps >= 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), "_steps")))
+    """Sub-daily steps with BY parts: days are chosen first, then their steps are filtered and counted."""
+    of = lambda seconds: F.date_from_unix_date(F.floor(seconds / DAY).cast("int"))
+    # Only COUNT needs what comes before the lower bound.
+    begin = F.when(rule["count"].isNull(), F.greatest("_start", F.col("_low") - DAY)).otherwise(F.col("_start"))
+    rows = rows.withColumns({"_step": _per_step(rule), "_b": of(begin), "_e": of(F.col("_end"))}).filter("_e >= _b")
+    day = F.col("_day")
+    days = rows.withColumn("_day", F.explode(F.sequence("_b", "_e"))).filter(_has(rule["bymonth"], F.month(day)) & _signed(rule["bymonthday"], F.dayofmonth(day), F.dayofmonth(F.last_day(day))) & _has(rule["byday"], _day_name(day)))
+    midnight = F.unix_date("_day").cast("long") * DAY
+    first = F.greatest(F.lit(0), F.ceil((midnight - F.col("_start")) / F.col("_step"))).cast("long")
+    last = F.floor((F.least(midnight + DAY - 1, F.col("_end")) - F.col("_start")) / F.col("_step")).cast("long")
+    out = days.withColumns({"_first": first, "_steps": last}).filter("_steps >= _first").withColumn("_k", F.explode(F.sequence("_first", "_steps")))
     out = out.withColumn("_local", F.col("_start") + F.col("_k") * F.col("_step"))
-    day = F.date_from_unix_date(F.floor(F.col("_local") / DAY).cast("int"))
     s = F.pmod(F.col("_local"), F.lit(DAY))
-    clock = _has(rule["byhour"], F.floor(s / 3600).cast("int")) & _has(rule["byminute"], (F.floor(s / 60) % 60).cast("int")) & _has(rule["bysecond"], (s % 60).cast("int"))
-    keep = out.filter(_has(rule["bymonth"], F.month(day)) & _signed(rule["bymonthday"], F.dayofmonth(day), F.dayofmonth(F.last_day(day))) & _has(rule["byday"], _day_name(day)) & clock)
+    keep = out.filter(_has(rule["byhour"], F.floor(s / 3600).cast("int")) & _has(rule["byminute"], (F.floor(s / 60) % 60).cast("int")) & _has(rule["bysecond"], (s % 60).cast("int")))
     return _counted(keep, rule)
 
 
@@ -145,8 +193,10 @@ def _day_steps(rows: DataFrame, rule: Column, placed_too: bool) -> DataFrame:
     """Rules whose periods are weeks, months or years, or that choose days: candidates are the days of the span."""
     start = F.date_from_unix_date(F.floor(F.col("_start") / DAY).cast("int"))
     end = F.date_from_unix_date(F.floor(F.col("_end") / DAY).cast("int"))
-    # A period is filled from its first day, which BYSETPOS counts from.
-    begin = F.when(rule["freq"] == "WEEKLY", _week_start(start, rule["wkst"])).when(rule["freq"] == "MONTHLY", F.trunc(start, "MM")).when(rule["freq"] == "YEARLY", F.trunc(start, "YEAR")).otherwise(start)
+    # A period is filled from its first day, which BYSETPOS counts from. Only COUNT needs what comes before the lower bound.
+    low = F.date_from_unix_date((F.floor(F.col("_low") / DAY) - 1).cast("int"))
+    at = F.when(rule["count"].isNull(), F.greatest(start, low)).otherwise(start)
+    begin = F.when(rule["freq"] == "WEEKLY", _week_start(at, rule["wkst"])).when(rule["freq"] == "MONTHLY", F.trunc(at, "MM")).when(rule["freq"] == "YEARLY", F.trunc(at, "YEAR")).otherwise(at)
     facts = lambda df, day, name: df.select("*", F.explode(F.array(_day_facts(F.col(day), rule))).alias(name))
     rows = facts(rows.withColumns({"_s": start, "_b": begin, "_e": end}).filter("_e >= _b"), "_s", "_start_facts")
     # Facts through one-element arrays: they are made once a day, apart from the conditions that read them.
@@ -191,20 +241,38 @@ def _is_odd() -> Column:
     return F.coalesce((F.size("exdates") > 0) | F.col("exrule").isNotNull() | (F.size("rdates") > 0), F.lit(False))
 
 
-def _rule_starts(events: DataFrame, rule: str, kinds: _Kinds, until: int | None, low: int | None, cap: int | None) -> DataFrame:
-    """_row and the start of each occurrence that a rule gives."""
+def _is_certain() -> Column:
+    """Rules whose k-th occurrence has a proven latest time."""
+    r = F.col("rule")
+    return (_is_fixed(r) & ~_chooses(r)) | _is_sure(r)
+
+
+def _known_end(until: int | None) -> Column:
+    """When an event's rule ends at the latest, or null: UNTIL, the query's bound, or COUNT of a certain rule."""
+    r = F.col("rule")
+    counted = F.when(_is_certain() & r["count"].isNotNull(), _after(F.col("dtstart_ts"), r["count"]))
+    return F.least(r["until_ts"], F.lit(until).cast("long"), counted)
+
+
+def _after(start: Column, n: Column) -> Column:
+    """No earlier than n steps after start, with room for a begun step and a change of clocks."""
+    return F.least(F.lit(float(LAST)), start + _per_step(F.col("rule")).cast("double") * (n + 2) + 2 * DAY).cast("long")
+
+
+def _is_followed(until: int | None, cap: int | None) -> Column:
+    """Events whose end only rounds can tell."""
+    r = F.col("rule")
+    return r.isNotNull() & F.coalesce(~(_is_certain() & ~_is_odd()), F.lit(True)) & (F.lit(cap is not None) | _known_end(until).isNull())
+
+
+def _rule_starts(events: DataFrame, rule: str, kinds: _Kinds, cap: int | None = None) -> DataFrame:
+    """_row and the start of each occurrence that a rule gives up to the event's _until; those before _low needn't be
+    among them, and of a plain rule no more than cap are."""
     r = F.col(rule)
     tz = F.coalesce("tzid", F.lit("UTC"))
-    # By COUNT or a cap alone a rule may run this far.
-    counted = F.least(F.coalesce(r["count"], F.lit(1 << 30)), F.lit(cap or 1 << 30))
-    rare = F.when(r["freq"].isin("MONTHLY", "YEARLY") | (F.coalesce(F.size(r["bymonth"]), F.lit(0)) > 0), STEPS_EACH).otherwise(2)
-    # Steps of less than a day may be chosen on some hours only.
-    step = F.when(_chooses(r), F.greatest(_per_step(r), F.lit(DAY))).otherwise(_per_step(r))
-    far = F.greatest(F.col("dtstart_ts"), F.lit(low)) + step * (F.greatest(counted, F.lit(1)) + 1) * rare
-    ends = [F.when(r["count"].isNotNull() | F.lit(cap is not None), far), r["until_ts"]] + ([F.lit(until)] if until is not None else [])
-    start = F.struct(to_local(F.col("dtstart_ts"), tz).alias("s"), to_local(F.least(*ends), tz).alias("e"), (to_local(F.lit(low), tz) if low is not None else F.col("dtstart_ts") - 2 * DAY).alias("l"))
+    start = F.struct(to_local(F.col("dtstart_ts"), tz).alias("s"), to_local(F.least("_until", r["until_ts"]), tz).alias("e"), F.coalesce(to_local(F.col("_low"), tz), F.col("dtstart_ts") - 2 * DAY).alias("l"))
     # Through a one-element array: conversions between zones are then written once, not at each use.
-    rows = events.filter(r.isNotNull()).select(_ROW, tz.alias("tzid"), r.alias(rule), F.explode(F.array(start)).alias("_t"), F.lit(cap or 1 << 40).alias("_cap")).select(_ROW, "tzid", rule, "_cap", F.col("_t.s").alias("_start"), F.col("_t.e").alias("_end"), F.col("_t.l").alias("_low")).filter("_end >= _start")
+    rows = events.filter(r.isNotNull()).select(_ROW, tz.alias("tzid"), r.alias(rule), F.explode(F.array(start)).alias("_t"), F.lit(cap or 1 << 40).alias("_cap")).select(_ROW, "tzid", rule, "_cap", F.col("_t.s").alias("_start"), F.col("_t.e").alias("_end"), F.col("_t.l").alias("_low")).filter("_end is null or _end >= _start")
     out = []
     if kinds.plain:
         out.append(_plain_steps(rows.filter(_is_fixed(r) & ~_chooses(r)), r))
@@ -217,30 +285,94 @@ def _rule_starts(events: DataFrame, rule: str, kinds: _Kinds, until: int | None,
     return reduce(DataFrame.unionByName, out).select(_ROW, to_utc(F.col("_local"), F.col("tzid")).alias("occurrence_ts"))
 
 
-def occurrences(events: DataFrame, until: int | None = None, low: int | None = None, cap: int | None = None) -> DataFrame:
+def _given(events: DataFrame) -> DataFrame:
+    """RDATEs, or DTSTART of an event with neither rule nor RDATEs."""
+    dates = F.when(F.col("rule").isNull() & (F.coalesce(F.size("rdates"), F.lit(0)) <= 0), F.array("dtstart_ts")).otherwise(F.col("rdates"))
+    return events.select(_ROW, F.explode(dates).alias("occurrence_ts"))
+
+
+def _removed(events: DataFrame, kinds: _Kinds, until: int | None) -> DataFrame:
+    """What EXRULEs give, as far as the rule or the last RDATE."""
+    last = F.least(F.greatest("_until", F.array_max("rdates")), F.lit(until).cast("long"))
+    return _rule_starts(events.filter("exrule is not null").withColumn("_until", last), "exrule", kinds)
+
+
+def _odd_starts(events: DataFrame, kinds: _Kinds, until: int | None) -> DataFrame:
+    """Occurrences of events that need a set operation."""
+    full = _rule_starts(events, "rule", kinds).unionByName(_given(events)).distinct()
+    out_dates = events.select(_ROW, F.explode("exdates").alias("occurrence_ts")).unionByName(_removed(events, kinds, until)).distinct()
+    return full.join(out_dates, [_ROW, "occurrence_ts"], "left_anti")
+
+
+def _followed(events: DataFrame, kinds: _Kinds, until: int | None, cap: int | None) -> DataFrame:
+    """events with _until, which each event's occurrences are made up to (null: a plain rule's COUNT or cap says it).
+
+    Where it must be found, rounds lengthen an event's span until it has its COUNT, or cap occurrences that neither
+    EXDATE nor EXRULE removes at or after _low, or has reached its end, or shows nothing in a whole cycle."""
+    r, x = F.col("rule"), F.col("exrule")
+    by_dates = F.coalesce(F.lit(until).cast("long"), F.array_max("rdates"), F.col("dtstart_ts"))
+    if not (kinds.chosen or kinds.days or kinds.odd):
+        return events.withColumn("_until", F.when(r.isNull(), by_dates).otherwise(F.least(r["until_ts"], F.lit(until).cast("long"))))
+    # Kept, so that plans begin here: what reads the rules would otherwise be copied into each of their uses.
+    events = events.persist()
+    end, base = _known_end(until), F.greatest("dtstart_ts", "_low")
+    page = F.lit(None).cast("long") if cap is None else _after(base, F.lit(cap))
+    fixed = F.when(r.isNull(), by_dates).when(_is_fixed(r) & ~_chooses(r) & ~_is_odd(), F.least(r["until_ts"], F.lit(until).cast("long"))).when(_is_sure(r) & ~_is_odd(), F.least(end, page)).otherwise(end)
+    counted = F.least(r["count"], F.lit(cap).cast("int")) + F.greatest(F.coalesce(F.size("exdates"), F.lit(0)), F.lit(0)) + 1
+    rare = F.when(r["freq"].isin("MONTHLY", "YEARLY") | _some(r["bymonth"]), STEPS_EACH).otherwise(2)
+    # Steps of less than a day may be chosen on some hours only.
+    step = F.when(_chooses(r), F.greatest(_per_step(r), F.lit(DAY))).otherwise(_per_step(r)).cast("double")
+    for part, days in DAYS_EACH.items():
+        step = F.when(r["freq"].isin("DAILY", "WEEKLY") & _some(r[part]), F.greatest(step, F.lit(float(days * DAY)))).otherwise(step)
+    # An EXRULE that ends may yet let occurrences through.
+    lasting = x.isNull() | (x["count"].isNull() & x["until_ts"].isNull())
+    facts = {"_last": F.coalesce(end, F.lit(LAST)), "_from": base.cast("double"), "_span": step * counted * rare, "_never": F.when(lasting, base + _joint_cycle(r, x) + 2 * DAY), "_count": r["count"]}
+    own = events.columns
+    events = events.withColumns({"_need": _is_followed(until, cap), "_until": fixed, **facts}).persist()
+    out, rows = events.filter("not _need").select(*own, "_until"), events.filter("_need").drop("_until")
+    for k in count():
+        if rows.isEmpty():
+            return out
+        tried = rows.withColumn("_until", F.least(F.col("_last").cast("double"), F.col("_from") + F.col("_span") * float(GROWTH**k)).cast("long")).persist()
+        raw = _rule_starts(tried, "rule", kinds)
+        parts = {"raw": raw}
+        if kinds.odd:
+            parts |= {"kept": raw.join(_removed(tried, kinds, until).distinct(), [_ROW, "occurrence_ts"], "left_anti"), "net": _odd_starts(tried, kinds, until)}
+        # Without odd events the rule's starts are all there is.
+        of = {p: p if p in parts else "raw" for p in ("raw", "kept", "net")}
+        made = reduce(DataFrame.unionByName, (df.withColumn("_part", F.lit(n)) for n, df in parts.items())).join(tried.select(_ROW, "_until", "_low"), _ROW)
+        inside = F.coalesce(F.col("occurrence_ts") >= F.col("_low"), F.lit(True)) & (F.col("occurrence_ts") <= F.col("_until"))
+        seen = made.groupBy(_ROW).agg(*(F.count_if((F.col("_part") == of[p]) & (inside if p == "net" else F.lit(True))).alias(f"_{p}") for p in of))
+        n = {p: F.coalesce(f"_{p}", F.lit(0)) for p in of}
+        ended = (F.col("_until") >= F.col("_last")) | F.coalesce(n["raw"] >= F.col("_count"), F.lit(False)) | F.coalesce((n["kept"] == 0) & (F.col("_until") >= F.col("_never")), F.lit(False))
+        if cap is not None:
+            ended = ended | (n["net"] >= cap)
+        # Kept, so that a round doesn't run the rounds before it again.
+        state = tried.join(seen, _ROW, "left").withColumn("_ended", ended).drop(*(f"_{p}" for p in of)).persist()
+        out = out.unionByName(state.filter("_ended").select(*own, "_until"))
+        rows = state.filter("not _ended").drop("_ended", "_until")
+
+
+def occurrences(events: DataFrame, until: int | None = None, low: int | Column | None = None, cap: int | None = None) -> DataFrame:
     """calendar_uid, event_uid, occurrence_ts: each event's RRULE and RDATEs without its EXRULE and EXDATEs.
 
     An event with neither rule nor RDATEs occurs at DTSTART. RDATEs are taken as they are; DTSTART itself isn't added
-    to a rule that doesn't give it. Dates given twice occur once. until: no occurrence starts later. low and cap: of a
-    fixed-step rule's occurrences at or after low, no more than cap are made. Without until, a rule that has neither
-    UNTIL nor COUNT needs a cap; such events raise."""
+    to a rule that doesn't give it. Dates given twice occur once. until: no occurrence starts later. low, a time or a
+    column of events: those before it needn't be made. cap: of those at or after low (or of all), at least the first
+    cap are made. Without until, a rule that has neither UNTIL nor COUNT needs a cap; such events raise. Rules with
+    BY parts end with the year 9999."""
+    cap = None if cap is None else max(cap, 1)
     kinds = _kinds(events)
     if until is None and cap is None and kinds.endless:
         raise ValueError("a rule without UNTIL or COUNT needs an upper bound or a cap")
-    events = events.withColumn(_ROW, F.struct(*EVENT_KEY))
-    dates = F.when(F.col("rule").isNull() & (F.coalesce(F.size("rdates"), F.lit(0)) <= 0), F.array("dtstart_ts")).otherwise(F.col("rdates"))
-    given = lambda df: df.select(_ROW, F.explode(dates).alias("occurrence_ts"))
+    events = events.select(F.struct(*EVENT_KEY).alias(_ROW), "dtstart_ts", "tzid", "rule", "exrule", "rdates", "exdates", (low if isinstance(low, Column) else F.lit(low)).cast("long").alias("_low"))
+    events = _followed(events, kinds, until, cap)
     usual = events.filter(~_is_odd()) if kinds.odd else events
-    out = _rule_starts(usual, "rule", kinds, until, low, cap)
+    out = _rule_starts(usual, "rule", kinds, cap)
     if kinds.dates:
-        out = out.unionByName(given(usual))
+        out = out.unionByName(_given(usual))
     if kinds.odd:
-        some = events.filter(_is_odd())
-        more = None if cap is None else cap * STEPS_EACH
-        full = _rule_starts(some, "rule", kinds, until, None, more).unionByName(given(some)).distinct()
-        # An EXRULE is followed as far as the rule.
-        out_dates = some.select(_ROW, F.explode("exdates").alias("occurrence_ts")).unionByName(_rule_starts(some.filter("exrule is not null"), "exrule", kinds, until, None, more)).distinct()
-        out = out.unionByName(full.join(out_dates, [_ROW, "occurrence_ts"], "left_anti"))
+        out = out.unionByName(_odd_starts(events.filter(_is_odd()), kinds, until))
     if until is not None:
         out = out.filter(F.col("occurrence_ts") <= until)
     return out.select(f"{_ROW}.*", "occurrence_ts")

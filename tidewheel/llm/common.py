@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set and all run on one machine
+    (tests), a temporary one; on a cluster that is an error, since executors would write where no other one reads."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -31,12 +35,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns what reads it back, so that lineage ends here
     and a lost executor costs only the tasks that were reading. Removed when the session's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewheel-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As saved(), in buckets of a column, so that joining and grouping by it needn't shuffle the table."""
+    spark = df.sparkSession
+    path, table_name = _new_path(spark, name), f"tidewheel_{uuid.uuid4().hex}"
+    df.write.bucketBy(max(1, min(buckets, 50_000)), column).option("compression", "zstd").option("path", path).saveAsTable(table_name)
+    atexit.register(_remove, spark, path)
+    return spark.read.table(table_name)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tidewheel-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewheel.llm import byte_bpe, fingerprints, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, resharding, substring_dedup
+from tidewheel.llm import byte_bpe, common, fingerprints, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, resharding, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rnd = random.Random(11)
@@ -106,19 +108,62 @@ def test_quality_rules(docs, empty, odd):
     for i, t in pairs():
         w, lines = split(t), [x for x in t.split("\n") if split(x)]
         threes = list(zip(w, w[1:], w[2:], strict=False))
-        covered = {k + j for k, x in enumerate(threes) if threes.count(x) > 1 for j in range(3)} if len(w) < 500 else set()
+        times = Counter(threes)
+        covered = {k + j for k, x in enumerate(threes) if times[x] > 1 for j in range(3)}
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), sum(t.count(c) for c in quality_rules.SYMBOLS), len(lines) - len(set(lines)))
-        if len(w) < 500:
-            assert r["n_repeat_words"] == len(covered) and r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        assert not (r["base_failed"] and r["kept"])
-    assert quality_rules.quality_report(empty).count() == 0 and quality_rules.quality_report(odd).count() == 7
+        assert r["n_repeat_words"] == len(covered) and r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert r["kept"] == (not _rejected(t))
+    assert quality_rules.quality_report(empty).count() == 0
+    want = Counter((r["doc_id"], len(split(r["text"] or "")), not _rejected(r["text"] or "")) for r in odd.collect())
+    assert Counter((r["doc_id"], r["n_words"], r["kept"]) for r in quality_rules.quality_report(odd).collect()) == want
     failed = {r["doc_id"]: r["failed_rule"] for r in quality_rules.cascade(docs).collect()}
     assert all((failed[i] is None) == got[i]["kept"] for i, _ in pairs())
     ranks = [x.rank for x in quality_rules.measure(docs)]
     assert ranks == sorted(ranks, reverse=True)
 
 
+def _rejected(t):
+    """The names of the rules that reject a text, in plain Python."""
+    w, chars = split(t), len("".join(split(t)))
+    lines = [x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n") if split(x)]
+    raw = [x for x in t.split("\n") if split(x)]
+    threes, n = list(zip(w, w[1:], w[2:], strict=False)), len(w)
+    times = Counter(threes)
+    again = len({k + j for k, x in enumerate(threes) if times[x] > 1 for j in range(3)})
+    of = lambda cs: sum(t.count(c) for c in cs)
+    rules = {
+        "few_words": n < 50, "repetitive": 100 * again > 50 * n, "symbolic": 10 * of("#*$%&|<>") > n, "shouting": 2 * of(string.ascii_uppercase) > chars, "dup_lines": 2 * (len(raw) - len(set(raw))) > len(t.split("\n")),
+        "odd_words": chars < 2 * n or chars > 20 * n, "numeric": 10 * of(string.digits) > 3 * chars, "punctuated": 10 * of(string.punctuation) > 4 * chars, "code": 20 * of("{}") > n,
+        "cut_off": 100 * sum(x.endswith(("...", "…")) for x in lines) > 30 * len(lines), "bulleted": 100 * sum(x[0] in "-*•" for x in lines) > 90 * len(lines),
+        "one_pair": 5 * max(Counter(itertools.pairwise(w)).values(), default=0) > n,
+    }
+    return {name for name, holds in rules.items() if holds}
+
+
+def test_each_rule_rejects_what_it_should(spark):
+    base = prose(80)
+    texts = [
+        base, base + " # $ % & | < > * # $", base.upper(), "\n".join([prose(30), "a b c d e"] * 3 + ["a b c d e"] * 9), " ".join("a" for _ in range(30)) + " " + " ".join(rnd.choice("bcdefghijklmnop") for _ in range(60)),
+        base + " " + " ".join("123456789012" for _ in range(60)) + prose(20), base + " ;;;;!!!!????,,,," * 30 + prose(40), base + " {} {} {}", "\n".join(f"{prose(6)} ...  " for _ in range(12)), "\n".join(f"  - {prose(6)}" for _ in range(12)),
+        " ".join(f"in the {prose(1)}" for _ in range(60)), " ".join("x" * 30 + prose(1) for _ in range(60)), "a b " * 2 + prose(60),
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rule in quality_rules.RULES:
+        got = {r["doc_id"] for r in quality_rules.cascade(rows, (rule,)).filter("failed_rule is not null").collect()}
+        assert got == {k for k, t in enumerate(texts) if rule.name in _rejected(t)}, rule.name
+
+
+def test_the_cascade_asks_nothing_more_of_a_rejected_document(spark):
+    rows = spark.createDataFrame([(1, "few words"), (2, prose(60)), (3, None)], "doc_id long, text string")
+    # Of a short text this rule must not be asked.
+    bomb = quality_rules.Rule("bomb", lambda f: F.when(f["n_words"] < 50, F.raise_error(F.lit("asked")).cast("boolean")).otherwise(F.lit(False)))
+    judge = lambda *order: [r[0] for r in rows.orderBy("doc_id").select(common.let(common.text_of(), lambda t: common.let(common.words_of(t), lambda w: quality_rules.failed_rule(list(order), quality_rules.Facts(t, w))))).collect()]
+    assert judge(quality_rules.FEW_WORDS, bomb) == ["few_words", None, "few_words"]
+    with pytest.raises(Exception, match="asked"):
+        judge(bomb, quality_rules.FEW_WORDS)
+
+
 def test_classifier_and_language(spark, empty, docs, odd):
     rows = [(k, prose(80) if k % 2 else "### %%% " * 40, "xx" if k % 2 else "yy", "s", 1) for k in range(80)]
     d = spark.createDataFrame(rows, SCHEMA)
@@ -153,19 +198,88 @@ def test_forward_sums_every_segmentation():
         assert np.isfinite(got).all() and (want is None or np.allclose(got, want))
 
 
-def test_substring_dedup(docs, empty, odd):
-    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(docs).collect()}
+def _cut(rows, n=50):
+    """What stays of each of rows (doc_id, text), by plain reading; sorted."""
+    rows = [(i, split(t or "")) for i, t in rows]
     first = {}
-    for i, t in pairs():
-        w = split(t)
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), i)
-    for i, t in pairs():
-        w = split(t)
-        gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
-        assert got[i]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone) and got[i]["n_removed"] == len(gone)
+    for i, w in rows:
+        for k in range(len(w) - n + 1):
+            if i is not None:
+                first[tuple(w[k : k + n])] = min(i, first.get(tuple(w[k : k + n]), i))
+    out = []
+    for i, w in rows:
+        gone = {j for k in range(len(w) - n + 1) if i is not None and first[tuple(w[k : k + n])] < i for j in range(k, k + n)}
+        out.append((-1 if i is None else i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out)
+
+
+def _kept(df):
+    return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in df.collect())
+
+
+def test_substring_dedup(docs, empty, odd):
+    assert _kept(substring_dedup.deduplicated(docs)) == _cut(pairs())
     assert substring_dedup.deduplicated(empty).count() == 0
-    assert sorted(r["n_removed"] for r in substring_dedup.deduplicated(odd).collect())[-1] >= 0 and substring_dedup.deduplicated(odd).count() == 7
+    assert _kept(substring_dedup.deduplicated(odd)) == _cut([(r["doc_id"], r["text"]) for r in odd.collect()])
+
+
+def _family(rng):
+    """Texts with shared passages that begin, end and branch in different places."""
+    vocabulary, a, b, c = WORDS[:40], prose(40), prose(30), prose(25)
+    texts = [f"{a} {b} {prose(9)}", f"{prose(5)} {a} {b}", f"{a} {prose(12)} {b}", f"{b} {a}", a, f"{prose(3)} {a[20:]} {b[:80]}", "la " * 70, "la " * 50, "la le li " * 50, "le li la " * 20, f"{a} {c} {prose(4)}", f"{prose(2)} {a} {c}", f"{c} {b}", f"{c} {b[:90]}", prose(20)]
+    return [(3 * k + 1, t) for k, t in enumerate(texts)] + [(90 + k, " ".join(rng.choice(vocabulary) for _ in range(60))) for k in range(4)]
+
+
+def test_hashes_that_collide_cut_nothing_else(spark):
+    rows = _family(random.Random(12)) + [(40, None), (7, prose(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bits in (3, 9, 64):
+        assert _kept(substring_dedup.deduplicated(df, 12, 5, bits)) == _cut(rows, 12), bits
+
+
+def test_edges_share_a_path_where_no_node_branches(spark):
+    n, rows = 12, _family(random.Random(13))
+    rows = [(i, t) for i, t in rows if t]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs, _ = common.keyed(df)
+    windows = {}
+    for i, t in sorted(rows):
+        w = split(t)
+        for k in range(len(w) - n + 1):
+            windows.setdefault(tuple(w[k : k + n]), []).append((i, k))
+    edges = {e: at for e, at in windows.items() if len({i for i, _ in at}) > 1}
+    into, out = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    plain = {v for v in into if into[v] == 1 and out[v] == 1}
+    after = {e: next(f for f in edges if f[:-1] == e[1:]) for e in edges if e[1:] in plain}
+    before = {f: e for e, f in after.items()}
+
+    def root(e):
+        seen = [e]
+        while seen[-1] in before and before[seen[-1]] not in seen:
+            seen.append(before[seen[-1]])
+        return min(seen) if seen[-1] in before else seen[-1]  # a ring, else where the path begins
+
+    want = {}
+    for e, at in edges.items():
+        want.setdefault(root(e), set()).add(min(at))
+    listed = spark.createDataFrame([(k, *min(at), len(at)) for k, (e, at) in enumerate(edges.items())], "edge long, source long, at int, rows long")
+    got = {}
+    for r in substring_dedup.compacted(docs, listed, n).collect():
+        got.setdefault(r["path"], set()).add((r["source"], r["at"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 3
+
+
+def test_chains_and_rings(spark):
+    links = [(1, None), *((k, k - 1) for k in range(2, 40)), (50, 53), (51, 50), (52, 51), (53, 52), (60, None), (70, 70)]
+    got = {r["stretch"]: r["path"] for r in substring_dedup.chained(spark.createDataFrame(links, "stretch long, before long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 40), 1), **dict.fromkeys(range(50, 54), 50), 60: 60, 70: 70}
+
+
+def test_hot_keys_join_like_others(spark):
+    many = spark.range(5000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 900).cast("long").alias("k"), "id")
+    one = many.groupBy("k").agg(F.count("*").alias("rows")).filter("k % 2 = 1").withColumn("x", F.col("k") * 2)
+    got = sorted(map(tuple, common.joined(many, one, "k", 5000).select("id", "k", "x").collect()))
+    assert got == sorted((r["id"], r["k"], 2 * r["k"]) for r in many.collect() if r["k"] % 2)
 
 
 def test_byte_bpe_is_what_the_library_gives(docs, empty, odd):

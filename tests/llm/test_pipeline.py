@@ -60,3 +60,27 @@ def test_stages(spark, sf_dir, tmp_path):
     for s in {r["sequence_id"] for r in packed}:
         assert sum(r["length"] for r in packed if r["sequence_id"] == s) <= 1024
     assert corpus_pipeline.run(spark, sf_dir).count() == len(packed)
+
+
+def test_stages_on_odd_tables(spark, sf_dir, tmp_path):
+    """Repeated rows, ids with two texts or none, null texts, columns beside those of documents, and no rows at all."""
+    base, other, shared = prose("en", 120), prose("en", 100), prose("en", 60)
+    texts = [(1, base), (1, base), (2, base + " end"), (3, other), (3, shared + " " + prose("en", 30)), (4, prose("en", 30) + " " + shared), (None, other + " more"), (None, None), (9, prose("de", 80))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or ""), k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, _row long")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        assert k == 4 or tuple(out.columns) == corpus_pipeline.COLUMNS
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        rows = docs.collect()
+        if k == 1:
+            assert sorted(r["source"] for r in rows) == ["s0", "s1", "s2", "s3", "s4", "s5", "s6", "s8"]
+        if k == 2:  # one of s0, s1 and s2, and s3 but not the row without an id that is like it
+            assert len(rows) == 5 and {r["source"] for r in rows} >= {"s3", "s4", "s5", "s8"}
+        if k == 3:
+            assert len(rows) == 5 and next(r["text"] for r in rows if r["source"] == "s5") == " ".join(split(texts[5][1])[:30])
+    assert {r["doc_id"] for r in rows} == {1, 3, 4, 9}
+    none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, none, sf_dir)
+        assert none.count() == 0

@@ -8,9 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Ids that are broadcast, at most; more are joined.
+BROADCAST_IDS = 1_000_000
+#: Keys that have more than one in HOT_SHARE of the rows are hot: there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
 #: White space between words, the same set in Spark, Python (bytes.split) and DuckDB.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -63,6 +67,40 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def having(rows: DataFrame, ids: DataFrame, column: str, kept: bool = True) -> DataFrame:
+    """rows whose column is among ids (a column of that name, distinct); without kept, those whose column isn't. Few ids
+    are broadcast, so that the other rows aren't shuffled."""
+    ids = ids.select(column)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi" if kept else "left_anti")
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """many join one by key, which is unique in one; `rows` of one is how many rows of many have it, of total. Hot keys
+    are few and so broadcast: no task gets all rows of one."""
+    hot = one.filter(F.col("rows") * HOT_SHARE > total)
+    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col("rows") * HOT_SHARE <= total), key)
+    return many.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with _row, a number of their own in the order of doc_id, and _doc, the least _row of their doc_id (null where
+    that is null); and whether these are just doc_id, since no id is null or repeated."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumns({"_row": F.col("doc_id").cast("long"), "_doc": F.col("doc_id").cast("long")}), True
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc(), F.col("_tie").asc()]
+    dealt = saved(docs.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "keyed-rows")
+    before, seen = [], 0
+    for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():  # a row per range
+        before.append((r["_range"], seen))
+        seen += r["n"]
+    starts = docs.sparkSession.createDataFrame(before, "_range int, _before long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    rows = dealt.join(F.broadcast(starts), "_range").withColumn("_row", F.col("_before") + inside - 1).drop("_tie", "_range", "_before")
+    rows = saved(rows, "keyed-rows")
+    least = rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("_row").alias("_doc"))
+    return rows.join(least, F.col("doc_id") == F.col("_id"), "left").drop("_id"), False
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once; projections that only name it would compute it at each use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

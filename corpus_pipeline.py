@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import jaccard_join, language_id, packing, quality_classifier, substring_dedup
-from tidewheel.llm.common import saved, table
+from tidewheel.llm.common import having, keyed, saved, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Posterior that a language needs; below it, and for `und`, language ID rejects a document.
@@ -32,19 +32,22 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of linked documents the one that names it, with the smallest doc_id."""
-    near = saved(jaccard_join.linked_components(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
-    return docs.join(near, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps of each component of linked documents the one with the smallest doc_id; of rows that share it, one. Rows
+    without doc_id come after all others."""
+    rows, _ = keyed(docs.select(*COLUMNS))
+    linked = jaccard_join.linked_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    near = saved(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "pipeline-near")
+    return having(rows, near, "_row", kept=False).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; a document without a cut keeps its text as it is, one without
-    words left goes."""
-    spans = saved(substring_dedup.repeated_spans(docs.select("doc_id", "text")), "pipeline-spans")
-    touched = docs.join(spans.select("doc_id"), "doc_id", "left_semi")
-    cut = substring_dedup.without_spans(touched, spans).filter("n_words > n_removed").select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"))
-    rest = docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    return rest.unionByName(touched.drop("text", "n_chars").join(cut, "doc_id").select(*COLUMNS))
+    """Cuts passages that a document with a smaller doc_id has; a document without a cut keeps its text as it is, one
+    without words left goes. Rows that share a doc_id are each cut, rows without one aren't."""
+    rows, unique = keyed(docs.select(*COLUMNS))
+    spans = saved(substring_dedup.repeated_spans(rows, unique=unique), "pipeline-spans")
+    cut = substring_dedup.without_spans(having(rows, spans, "_row"), spans, keep=("doc_id", "lang", "source")).filter("n_words > n_removed")
+    cut = cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    return having(rows, spans, "_row", kept=False).select(*COLUMNS).unionByName(cut)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

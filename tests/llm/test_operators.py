@@ -97,12 +97,27 @@ def test_license_join_finds_what_all_blocks_against_all_templates_do(spark):
     got = by_id(license_scan.scan(df, templates, 0.7))
     for k, t in enumerate(texts):
         w, want = [x.decode() for x in license_scan.words_of(t.encode())], set()
-        for a in range(0, max(1, len(w) - license_scan.BLOCK + license_scan.STEP), license_scan.STEP):
-            block = set(w[a : a + license_scan.BLOCK])
-            want |= {label for label, x in templates if len(block & set(x.split())) >= license_scan.needed(len(set(x.split())), 0.7)}
+        for label, x in templates:
+            size = license_scan.block_size(len(x.split()))
+            for a in license_scan.block_starts(len(w), size):
+                if len(set(w[a : a + size]) & set(x.split())) >= license_scan.needed(len(set(x.split())), 0.7):
+                    want.add(label)
         assert set(filter(None, got[k]["labels"].split(","))) == want
 
 
+def test_a_whole_notice_is_found_wherever_it_stands(spark):
+    rng, rows, want = random.Random(5), [], []
+    for label, notice in license_scan.NOTICES:
+        w = notice.split()
+        for before in (0, 1, 20, 50, 333):
+            if len(w) > 40 and before % 2:
+                w = [x for k, x in enumerate(w) if k % 30 != 7]  # nearly whole
+            rows.append((len(rows), f"{prose(before)} {' '.join(w)} {prose(rng.randint(0, 90))}"))
+            want.append(label)
+    got = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(label in got[k]["labels"].split(",") and got[k]["score"] >= license_scan.THRESHOLD for k, label in enumerate(want))
+
+
 def test_quality_rules(docs, empty, odd):
     got = by_id(quality_rules.quality_report(docs))
     for i, t in pairs():
@@ -395,19 +410,38 @@ def test_resharding(spark, docs, empty, odd, tmp_path):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
     sizes = {r["shard"]: r["b"] for r in resharding.shard_report(many).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) < 200
-    placed = resharding.reshard(many, F.pmod("doc_id", F.lit(3)), 3, 4)
-    touched = resharding.rewrite(many, placed, str(tmp_path / "shards"))
-    assert touched and spark.read.parquet(str(tmp_path / "shards")).count() == 3000
 
 
-def test_a_layout_that_shrinks_leaves_no_old_folder(spark, tmp_path):
+def test_equal_texts_stay_together_unless_they_are_too_many(spark):
+    rows = [(k, f"text {k % 150} " * 9) for k in range(3000)] + [(10_000 + k, "the same over and over " * 20) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = resharding.shard_report(df).collect()
+    shards, sizes = {}, Counter()
+    for r in got:
+        shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert len(shards) == 151 and sum(len(x) > 1 for x in shards.values()) == 1
+    assert len(sizes) == 16 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+def test_layouts_that_grow_and_shrink_keep_every_row(spark, tmp_path):
     path = str(tmp_path / "shards")
-    many = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text")).persist()
-    many.withColumn("slot", F.lit(0).cast("long")).withColumn("shard", F.pmod("doc_id", F.lit(4)).cast("int")).write.partitionBy("shard").parquet(path)
-    touched = resharding.rewrite(many, resharding.reshard(many, F.pmod("doc_id", F.lit(4)), 4, 3), path)
-    back = spark.read.parquet(path)
-    assert 3 in touched and {r[0] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
-    assert sorted(r[0] for r in back.select("doc_id").collect()) == list(range(400))
+    rows = [(k, "x" * (k % 97), k) for k in range(400)] + [(7, "twice", 1000), (7, "twice", 1001), (None, "no id", 1002), (None, None, 1003)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    first = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)).cast("int")
+    many.withColumn("shard", first).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
+    old = 4
+    for new in (5, 3, 6):
+        docs = spark.read.schema("doc_id long, text string, extra long, slot long, shard int").parquet(path)
+        placed = common.saved(resharding.reshard(docs, F.col("shard"), old, new), "placed")
+        touched = resharding.rewrite(docs, placed, path)
+        spark.catalog.refreshByPath(path)
+        back = spark.read.parquet(path).collect()
+        assert touched and sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "", r["extra"]) for r in back) == sorted((-1 if i is None else i, t or "", x) for i, t, x in rows)
+        assert {r["shard"] for r in back} == set(range(new)) and not (tmp_path / "shards.new").exists()
+        moved = {(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in placed.collect() if r["shard"] in touched}
+        assert {(r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in back if r["shard"] in touched} == moved
+        old = new
 
 
 def test_flow_moves_the_fewest_bytes():

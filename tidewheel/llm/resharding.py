@@ -5,8 +5,11 @@ go from where to where so that the fewest bytes move: bytes that stay cost nothi
 flow is then met with blocks: each old shard's documents lie in blocks in a fixed order, and its outgoing flows cut
 that order into consecutive stretches. Only blocks in a stretch that leaves its shard are rewritten.
 
-What reaches the driver is one row per block, and blocks are large (BLOCK_BYTES) once the data is large, so it is
-bounded by MAX_BLOCKS whatever the input.
+Documents with equal texts are a group: they lie in one block and a stretch is cut between groups, so what lies together
+stays together. Only a group larger than one part in GROUP_PARTS of a new shard is split, since the shards couldn't be
+near equal otherwise.
+
+What reaches the driver is one row per block, at most MAX_ROWS whatever the input.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import saved, text_of
 
 BLOCK_BYTES = 64 << 20
-#: Blocks of one size class, at least and at most.
-MIN_BLOCKS, MAX_BLOCKS = 64, 1 << 16
+#: Blocks of one size class in one old shard, at least where there is room, and all blocks, at most.
+MIN_BLOCKS, MAX_ROWS = 64, 1 << 18
+#: Groups of equal texts up to this part of a new shard's bytes stay whole.
+GROUP_PARTS = 64
 #: Classes are powers of two of a document's bytes; a row of the largest class is 2 GB, as much as a cell can hold.
 CLASSES = 32
 
@@ -114,17 +119,23 @@ def block_of(size: Column, key: Column, per_class: int) -> Column:
 
 
 def reshard(docs: DataFrame, old_shard: Column, old: int, new: int) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, old_shard, block, shard, slot, with shard sizes in bytes near equal.
+    """Per row: doc_id, size, text_crc32, old_shard, block, shard, slot, with shard sizes in bytes near equal. Equal texts
+    of one old shard go to one new shard, unless they are too many for near equal sizes.
 
     A null text counts as no bytes. A row with null doc_id is placed like any other. Repeated rows each get a
     place of their own. old_shard is an integer expression over docs' columns in 0..old-1."""
     size = (F.octet_length(text_of()) + 1).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    if CLASSES * old > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS // CLASSES} old shards")
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), F.xxhash64(text_of()).alias("text_key"), old_shard.cast("int").alias("old_shard"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    per_class = max(MIN_BLOCKS, min(MAX_BLOCKS, total // BLOCK_BYTES))
-    hashed = F.xxhash64("doc_id", "text_crc32")
+    per_class = min(max(MIN_BLOCKS, total // BLOCK_BYTES), MAX_ROWS // (CLASSES * old))
+    # There are fewer than new * GROUP_PARTS of them.
+    large = rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * (new * GROUP_PARTS) > total).select(F.col("text_key").alias("_key"))
+    whole = F.when(F.col("_key").isNull(), F.col("text_key")).otherwise(F.xxhash64("doc_id", "text_key"))
+    rows = rows.join(F.broadcast(large), F.col("text_key") == F.col("_key"), "left").withColumn("unit", F.shiftrightunsigned(whole, 1)).drop("_key", "text_key")
     # The block's number names the old shard as well, so that each block lies in one.
-    rows = rows.withColumn("block", block_of(F.col("size"), hashed, per_class) * old + F.col("old_shard"))
+    rows = rows.withColumn("block", block_of(F.col("size"), F.col("unit"), per_class) * old + F.col("old_shard"))
     rows = saved(rows, "reshard-rows")
     blocks = rows.groupBy("block", "old_shard").agg(F.sum("size").alias("bytes")).orderBy("block").collect()
     held = [0] * old
@@ -139,10 +150,11 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, new: int) -> DataFrame
 def _placed(rows: DataFrame, cuts: list[Stretch]) -> DataFrame:
     spark = rows.sparkSession
     plan = spark.createDataFrame([(c.block, float(c.low), float(c.high), c.shard, k) for k, c in enumerate(cuts)], "block long, low double, high double, shard int, stretch int")
-    ordered = Window.partitionBy("block").orderBy("doc_id", "size", "text_crc32")
-    middle = F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    at = rows.withColumn("middle", middle)
-    return at.join(F.broadcast(plan), (at["block"] == plan["block"]) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high"))).drop(plan["block"], "low", "high", "middle")
+    # The middle byte of a row's unit, which all its rows share.
+    ordered = Window.partitionBy("block").orderBy("unit")
+    before, through = (F.coalesce(F.sum("size").over(ordered.rangeBetween(Window.unboundedPreceding, to)), F.lit(0)) for to in (-1, 0))
+    at = rows.withColumn("middle", (before + through) / 2)
+    return at.join(F.broadcast(plan), (at["block"] == plan["block"]) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high"))).drop(plan["block"], "low", "high", "middle", "unit")
 
 
 def _numbered(placed: DataFrame, new: int) -> DataFrame:
@@ -160,33 +172,41 @@ def _numbered(placed: DataFrame, new: int) -> DataFrame:
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Rewrites under path (one folder shard=N each) the shards that gain or lose a row, and no others.
 
-    docs' doc_id is unique here. Folders of shards that lose all their rows are removed. Returns the shards that it
-    wrote or removed."""
-    moved = placed.filter("shard <> old_shard")
-    touched = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect())
-    held = {r[0] for r in placed.select("shard").distinct().collect()}
-    place = placed.filter(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("block").alias("_block"))
-    out = docs.join(place, docs["doc_id"].eqNullSafe(place["_id"])).drop("_id").withColumnRenamed("_shard", "shard").withColumnRenamed("_slot", "slot")
+    docs may be read from path itself: the new shards are written beside it, as path.new, before any old one is replaced,
+    and stay there if that breaks off. Folders of shards that lose all their rows are removed. Rows that share a doc_id
+    and a text take the places of such rows one to one. Returns the shards that it wrote or removed."""
     spark: SparkSession = docs.sparkSession
+    touched = sorted(r[0] for r in placed.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect())
+    if not touched:
+        return []
+    held = {r[0] for r in placed.select("shard").distinct().collect()}
+    nth = lambda *order: F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(*order))
+    place = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("block").alias("_block"))
+    place = place.withColumn("_nth", nth("_shard", "_slot")).filter(F.col("_shard").isin(touched))
+    own = docs.drop("shard", "slot").withColumns({"_id": F.col("doc_id"), "_crc": F.crc32(text_of().cast("binary"))}).withColumn("_nth", nth("text"))
+    both = own.alias("d").join(place.alias("p"), F.col("d._id").eqNullSafe(F.col("p._id")) & (F.col("d._crc") == F.col("p._crc")) & (F.col("d._nth") == F.col("p._nth")))
+    out = both.select(*(F.col(f"d.{c}") for c in docs.columns if c not in ("shard", "slot")), F.col("p._shard").alias("shard"), F.col("p._slot").alias("slot"), F.col("p._block").alias("_block"))
+    beside = path.rstrip("/") + ".new"
+    out.repartition("shard", "_block").drop("_block").write.mode("overwrite").partitionBy("shard").parquet(beside)
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        out.repartition("shard", "_block").drop("_block").write.mode("overwrite").partitionBy("shard").parquet(path)
+        spark.read.schema(out.drop("_block").schema).parquet(beside).write.mode("overwrite").partitionBy("shard").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-    # Only now: docs may be read from these folders.
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for s in touched:
-        if s not in held:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
-            folder.getFileSystem(conf).delete(folder, True)
+    for gone in [f"{path}/shard={s}" for s in touched if s not in held] + [beside]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(gone)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return touched
 
 
-#: The query's layouts: from 12 shards by hash of doc_id to 16.
+#: The query's layouts: from 12 shards by hash of the text to 16.
 OLD_SHARDS, NEW_SHARDS = 12, 16
 
 
 def shard_report(docs: DataFrame) -> DataFrame:
-    out = reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)), OLD_SHARDS, NEW_SHARDS)
+    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard.
+
+    Null text has no bytes. Rows with null doc_id and repeated rows get places of their own; an empty table gives none."""
+    out = reshard(docs, F.pmod(F.xxhash64(text_of()), F.lit(OLD_SHARDS)), OLD_SHARDS, NEW_SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

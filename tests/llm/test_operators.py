@@ -191,11 +191,28 @@ def test_classifier_and_language(spark, empty, docs, odd):
     rows = [(k, ("the house and the garden are here " if k % 2 else "das Haus und der Garten sind hier ") * 5, "en" if k % 2 else "de", "s", 1) for k in range(60)]
     got = by_id(language_id.language_report(spark.createDataFrame([*rows, (100, None, "en", "s", 0), (101, "12 34 !?", None, "s", 0), (102, "x" * 4000, None, "s", 0)], SCHEMA)))
     assert all(got[k]["lang_pred"] == ("en" if k % 2 else "de") for k in range(60)) and got[100]["lang_pred"] == got[101]["lang_pred"] == "und" and 0 <= got[102]["score"] <= 1
-    assert language_id.language_report(empty).count() == 0
+    assert language_id.language_report(empty).count() == 0 and language_id.language_report(odd).count() == 7
+    assert language_id._words("cafe\u0301 12 \u0301x") == ["cafe\u0301", "x"]
     bare = language_id.language_report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in bare} == {"und"} and len(bare) == len(TEXTS)
 
 
+def test_votes_are_those_of_all_cosines(docs):
+    rng = np.random.default_rng(4)
+    counts = np.stack([quality_classifier.term_counts(t or "") for t in TEXTS] * 3)
+    labels = rng.integers(0, 2, len(counts)).astype(float)
+    m = quality_classifier.Model(np.ones(quality_classifier.TERMS, np.float32), quality_classifier.latent_basis(np.log1p(counts), 8), np.zeros((0, 8), np.float32), labels)
+    m.vectors = m.embed(counts)
+    cosines = np.round(m.embed(counts) @ m.vectors.T, 6)
+    exact = np.array([[sum(x * y for x, y in zip(v, w, strict=True)) for w in m.vectors.astype(float)] for v in m.embed(counts).astype(float)])
+    assert np.abs(cosines - exact).max() < 1e-5
+    # Each text is there three times, so that there are ties; of equal ones the first vote.
+    for row, got in zip(cosines, m.votes(counts, 5), strict=True):
+        near = sorted(range(len(row)), key=lambda k: (-row[k], k))[:5]
+        weights = [max(float(row[k]), 1e-6) ** quality_classifier.SHARPNESS for k in near]
+        assert abs(got - sum(w * labels[k] for w, k in zip(weights, near, strict=True)) / sum(weights)) < 1e-5
+
+
 def test_forward_sums_every_segmentation():
     pieces = [language_id.START, "a", "b", "ab", language_id.START + "a", "ba", "aba"]
     m = language_id.Model(["x", "y"], pieces, np.array([[3, 1], [5, 2], [1, 9], [4, 4], [2, 2], [0, 7], [1, 1]], float))

@@ -1,9 +1,10 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are its trigrams of character classes and a few marks of repetition and length. Weighted counts of a
+A text's terms are its words (hashed into a fixed number of cells), its trigrams of character classes, and a few marks
+of repetition and length. Weighted counts of a
 bounded labelled sample give the space (a truncated SVD); the labelled vectors are then broadcast, and every
 document's cosine with every one of them is computed, a block of documents at a time. The nearest vote for their
-labels, weighted by similarity.
+labels, weighted by similarity. Similarities are compared to six decimals; of equal ones those of smaller doc_id vote.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .substring_dedup import Hashes
 
 #: Labelled documents that are broadcast, about at most.
 TRAIN_ROWS = 4000
@@ -41,7 +43,9 @@ N_CLASSES = 5 + len(MARKS)
 TRIGRAMS = N_CLASSES**3
 #: Marks of a text as a whole, each in so many steps.
 STEPS = 10
-TERMS = TRIGRAMS + 3 * STEPS
+#: Cells that words are hashed into, a power of two.
+CELL_BITS = 10
+TERMS = TRIGRAMS + 3 * STEPS + (1 << CELL_BITS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,6 +68,9 @@ def term_counts(text: str) -> np.ndarray:
     weight = max(1, len(c))
     for k, share in enumerate((again, same, min(1, np.log2(1 + len(words)) / 16))):
         out[TRIGRAMS + k * STEPS + min(STEPS - 1, int(share * STEPS))] = weight
+    if words:
+        cells = Hashes.of_worker().of(words) >> np.uint64(64 - CELL_BITS)
+        out[-(1 << CELL_BITS) :] = np.bincount(cells.astype(np.int64), minlength=1 << CELL_BITS)
     return out
 
 
@@ -84,11 +91,14 @@ class Model:
         """The weighted share of label 1 among the nearest; without a sample, 0.5."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        cosines = self.embed(counts) @ self.vectors.T
+        cosines = np.round(self.embed(counts) @ self.vectors.T, 6)
         k = min(neighbours, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6) ** SHARPNESS
-        return np.clip((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), 0, 1)
+        # The k-th greatest of each row: what is above it votes, and of its equals the first ones that make k.
+        least = np.partition(cosines, -k, axis=1)[:, -k, None]
+        above, equal = cosines > least, cosines == least
+        near = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        weight = np.where(near, np.maximum(cosines, 1e-6), 0) ** SHARPNESS
+        return np.clip(weight @ self.labels / weight.sum(axis=1), 0, 1)
 
 
 def latent_basis(weighted: np.ndarray, dimensions: int, seed: int = 0) -> np.ndarray:
@@ -161,6 +171,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; labels are learned only from rows that aren't held out."""
+    """Per row: doc_id, held_out, score, predicted; labels are learned only from rows that aren't held out.
+
+    Null text counts as empty and is scored by its length's marks. Repeated rows get equal scores; rows with null doc_id
+    are scored and not held out. Without labels every score is 0.5; an empty table gives no rows."""
     out = score(docs, fit(docs, labels.filter(~held_out(F.col("doc_id")))))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -47,7 +47,7 @@ def _words(text: str, find=[]) -> list[str]:  # noqa: B006  compiled once a work
     if not find:
         import regex
 
-        find.append(regex.compile(r"\p{L}+").findall)
+        find.append(regex.compile(r"\p{L}[\p{L}\p{M}]*").findall)  # a mark belongs to its letter
     return find[0](text.lower())
 
 
@@ -151,15 +151,18 @@ class _Remembered:
     """Rows of log p by word, computed a batch of new words at a time."""
 
     def __init__(self, model: Model):
-        self.model, self.index, self.rows = model, {}, np.empty((0, len(model.langs)))
+        self.model, self.index, self.rows = model, {}, np.empty((1 << 12, len(model.langs)))
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.index) > REMEMBERED:
-            self.index, self.rows = {}, np.empty((0, len(self.model.langs)))
+            self.index = {}
         new = list({w for t in texts for w in t if w not in self.index})
         if new:
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.rows = np.vstack([self.rows, self.model.log_p(new)])
+            have = len(self.index)
+            self.index.update(zip(new, range(have, have + len(new)), strict=True))
+            if len(self.index) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:have], np.empty((2 * len(self.index) - have, self.rows.shape[1]))])
+            self.rows[have : len(self.index)] = self.model.log_p(new)
         return [self.rows[[self.index[w] for w in t]].sum(axis=0) if t else np.zeros(len(self.model.langs)) for t in texts]
 
 
@@ -191,7 +194,11 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def language_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the rows that aren't held out."""
+    """Per row: doc_id, held_out, lang_pred, score; learned from the rows that aren't held out.
+
+    Null text, or one without a letter, is `und` with score 0. Of languages that are as likely the one that sorts first
+    is named. Repeated rows are answered alike; rows with null doc_id are answered and not held out. An empty table gives
+    no rows."""
     import public_tokenizers
 
     model = fit(docs.filter(~held_out(F.col("doc_id"))), vocabulary or public_tokenizers.path("piece_bpe_32k.model"))

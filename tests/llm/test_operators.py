@@ -509,7 +509,9 @@ def test_packing(docs, empty, odd):
             at += r["length"]
         assert at <= 1024
     assert packing.packing_report(empty).count() == 0 and packing.packing_report(odd).count() == 7
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing.encoder(path, packing.read_vocabulary(path))
+    assert packing.read_vocabulary(path) and packing.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")) is None
     for t in (" " * 20_000 + "x", "a<|endoftext|>b", "y" * 50_000, "\n \n" * 3000):
         assert encode(t) == tok.encode(t, add_special_tokens=False).ids
 

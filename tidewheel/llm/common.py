@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 
 #: Ids that are broadcast, at most; more are joined.
 BROADCAST_IDS = 1_000_000
+#: Bytes of a batch that goes to Python, about.
+BATCH_BYTES = 8 << 20
 #: Keys that have more than one in HOT_SHARE of the rows are hot: there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 #: White space between words, the same set in Spark, Python (bytes.split) and DuckDB.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts can be long: Arrow batches of BATCH_BYTES at most, of which a task holds a few at once."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(setting, "67108864")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(setting, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -153,13 +153,18 @@ def _as_ranks(vocabulary: dict) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in w): k for w, k in words.items()}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text by a tokenizer file, without special tokens; their strings in a text are ordinary text.
+def read_vocabulary(path: str) -> dict[bytes, int] | None:
+    """A tokenizer file as plain ranks, or None."""
+    with open(path, encoding="utf-8") as f:
+        return _as_ranks(json.load(f))
+
+
+def encoder(path: str, ranks: dict[bytes, int] | None) -> Callable[[str], list[int]]:
+    """Ids of a text by a tokenizer file (and as read_vocabulary() has it), without special tokens; their strings in a
+    text are ordinary text.
 
     Vocabularies that are plain ranks go through tiktoken, which gives the same ids in less time; others through tokenizers."""
     if path not in _MADE:
-        with open(path, encoding="utf-8") as f:
-            ranks = _as_ranks(json.load(f))
         if ranks is not None:
             import public_tokenizers
             import tiktoken
@@ -196,8 +201,10 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. A null text is empty and so one piece of the end id."""
 
+    ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))  # as large as the vocabulary
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, ranks.value)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -27,7 +27,7 @@ NEIGHBOURS = 15
 #: Similarities count to this power.
 SHARPNESS = 8
 THRESHOLD = 0.7
-BLOCK = 512
+BLOCK = 128
 
 #: Classes of bytes: other letters, digits and marks; then each of these by itself.
 MARKS = b" \n!#$%&*|.,"
@@ -96,7 +96,7 @@ class Model:
         # The k-th greatest of each row: what is above it votes, and of its equals the first ones that make k.
         least = np.partition(cosines, -k, axis=1)[:, -k, None]
         above, equal = cosines > least, cosines == least
-        near = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        near = above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
         weight = np.where(near, np.maximum(cosines, 1e-6), 0) ** SHARPNESS
         return np.clip(weight @ self.labels / weight.sum(axis=1), 0, 1)
 

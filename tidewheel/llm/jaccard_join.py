@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import BROADCAST_IDS, saved, text_of
 from .substring_dedup import Hashes, run_hashes, signed
 
 SHINGLE, PERCENT = 4, 85
@@ -42,8 +42,6 @@ MAX_LIGHT = 24
 FREE_PAIRS, PIVOTS, GROWTH = 4096, 8, 4
 #: 64-bit words of the brief sketch, which groups carry.
 BRIEF = 4
-#: Ids that are broadcast to fetch their texts, at most; more are joined.
-BROADCAST_IDS = 1_000_000
 
 
 def need(a: int, b: int, percent: int = PERCENT) -> int:
@@ -286,7 +284,7 @@ def linked_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that link: by sketch first, then by text."""
         left = saved(possible(pairs, sketches, percent), "join-possible")
-        wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(lows.select("node", "low"), "node")
+        wanted = left.select(F.col("a").alias("node")).distinct().union(left.select("b").distinct()).distinct().join(lows.select("node", "low"), "node")
         return saved(verified(left, saved(_texts(docs, wanted), "join-texts"), percent), "join-links")
 
     links = linked(pairs)

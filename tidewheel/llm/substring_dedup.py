@@ -215,20 +215,20 @@ def differing(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The spans whose words aren't those at their source's coordinates."""
 
     def digests(row: int, words: list[bytes], asked: list[dict]):
-        starts, ends = [a["start"] for a in asked], [a["end"] for a in asked]
-        return [row] * len(asked), starts, ends, [hashlib.blake2b(b" ".join(words[a:z]), digest_size=16).digest() for a, z in zip(starts, ends, strict=True)]
-
-    theirs = spans.select(F.col("source").alias("_row"), F.col("at").alias("start"), (F.col("at") + F.col("end") - F.col("start")).alias("end"))
-    asked = spans.select("_row", "start", "end").unionByName(theirs).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("asked"))
-    made = saved(_by_text(docs, saved(asked, "dedup-asked"), ["asked"], digests, "_row long, start int, end int, digest binary"), "dedup-digests")
-    mine = spans.join(made, ["_row", "start", "end"])
+        of = [hashlib.blake2b(b" ".join(words[a["start"] : a["end"]]), digest_size=16).digest() for a in asked]
+        return [row] * len(asked), [a["start"] for a in asked], [a["end"] for a in asked], of, [a["source"] for a in asked], [a["at"] for a in asked]
+
+    to = F.col("at") + F.col("end") - F.col("start")
+    theirs = spans.select(F.col("source").alias("_row"), F.col("at").alias("start"), to.alias("end"), F.lit(None).cast("long").alias("source"), F.lit(None).cast("int").alias("at")).distinct()
+    asked = spans.select("_row", "start", "end", "source", "at").unionByName(theirs).groupBy("_row").agg(F.collect_list(F.struct("start", "end", "source", "at")).alias("asked"))
+    made = saved(_by_text(docs, saved(asked, "dedup-asked"), ["asked"], digests, "_row long, start int, end int, digest binary, source long, at int"), "dedup-digests")
+    mine = made.filter("source is not null").withColumn("to", to)
     # Spans of one source and digest are one question, however many documents have them.
-    what = mine.select("source", "at", (F.col("at") + F.col("end") - F.col("start")).alias("to"), "digest").distinct()
-    held = made.select(F.col("_row").alias("source"), F.col("start").alias("at"), F.col("end").alias("to"), F.col("digest").alias("held"))
-    wrong = what.join(held, ["source", "at", "to"]).filter("digest <> held").drop("held")
+    held = made.filter("source is null").select(F.col("_row").alias("source"), F.col("start").alias("at"), F.col("end").alias("to"), F.col("digest").alias("held"))
+    wrong = mine.select("source", "at", "to", "digest").distinct().join(held, ["source", "at", "to"]).filter("digest <> held").drop("held")
     if wrong.isEmpty():
         return spans.limit(0)
-    return mine.withColumn("to", F.col("at") + F.col("end") - F.col("start")).join(wrong, ["source", "at", "to", "digest"], "left_semi").drop("to", "digest")
+    return mine.join(wrong, ["source", "at", "to", "digest"], "left_semi").drop("to", "digest")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, bits: int = 64, unique: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import jaccard_join, language_id, packing, quality_classifier, substring_dedup
-from tidewheel.llm.common import having, keyed, saved, table
+from tidewheel.llm.common import having, keyed, saved, short_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Posterior that a language needs; below it, and for `und`, language ID rejects a document.
@@ -20,6 +20,7 @@ SURE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is found, with that language as lang."""
+    short_batches(spark)
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     named = language_id.identify(docs, model, keep=COLUMNS)
     return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)

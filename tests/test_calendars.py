@@ -2,7 +2,6 @@
 
 import calendar
 import datetime as dt
-import itertools
 import random
 
 import pytest
@@ -186,12 +185,26 @@ def test_dates_in_and_out(spark):
 def test_bad_bodies_are_told_apart(spark):
     bad = {
         "A": "UID:B DTSTART:20210101T000000Z", "B": None, "C": "DTSTART:20210641T180000Z", "D": "DTSTART;TZID=Europe/London:20210328T013000", "E": "DTSTART;TZID=Europe/London:20211031T013000",
-        "F": "DTSTART:20210101T000000Z RRULE:FREQ=DAILY", "G": "DTSTART:20210101T000000Z DURATION:soon",
+        "F": "DTSTART:20210101T000000Z RRULE:FREQ=DAILY", "G": "DTSTART:20210101T000000Z DURATION:soon", "H": "DTSTART;TZID=Nowhere/Land:20210101T000000", "I": "DTSTART:20210101T000000Z RRULE:FREQ=DAILY;INTERVAL=1;UNTIL=soon",
+        "J": "DTSTART:20210101T000000Z RRULE:FREQ=WEEKLY;INTERVAL=1;BYDAY=XX", "K": "DTSTART:20210101T000000Z EXDATE:rubbish", "L": "DTSTART:20210101T000000Z GEO:abc", "M": "DTSTART:20210101T000000Z RRULE:FREQ=DAILY;INTERVAL=1;UNTIL=20210641T000000Z",
     }
     e = parse_events(spark.createDataFrame([("C", k, b) for k, b in bad.items()], "calendar_uid string, event_uid string, body string"))
     assert e.filter("error is null").count() == 0
     o = parse_overrides(spark.createDataFrame([("C", "A", "20210101T000000Z", "RRULE:FREQ=DAILY;INTERVAL=1")], "calendar_uid string, event_uid string, occurrence string, body string"))
     assert o.first()["error"]
+    local = "DTSTART;TZID=America/New_York:20210101T200000 RRULE:FREQ=DAILY;INTERVAL=1;UNTIL=20210103T200000 ACKNOWLEDGED:yes XML:<a/>"
+    r = parse_events(spark.createDataFrame([("C", "A", local)], "calendar_uid string, event_uid string, body string")).first()
+    assert r["error"] is None and r["rule"]["until_ts"] == ts("20210104T010000Z") and set(r["passive"]) == {"ACKNOWLEDGED", "XML"}
+
+
+def test_finer_parts_expand_and_far_occurrences_keep_an_event(spark):
+    start = dt.datetime(2021, 2, 1, 9, 10)
+    rules = ["FREQ=HOURLY;INTERVAL=1;BYMINUTE=0,30;UNTIL=20210201T130000Z", "FREQ=MINUTELY;INTERVAL=10;BYSECOND=0,30;UNTIL=20210201T100000Z", "FREQ=HOURLY;INTERVAL=5;BYMINUTE=5;BYSECOND=1,2;UNTIL=20210202T130000Z"]
+    got = by_event(occurrences(parsed(spark, {f"E{k}": f"DTSTART:20210201T091000Z RRULE:{r}" for k, r in enumerate(rules)})))
+    for k, r in enumerate(rules):
+        assert got[f"E{k}"] == [calendar.timegm(x.timetuple()) for x in rrulestr(r.replace("Z", ""), dtstart=start)], r
+    far = parsed(spark, {"A": "DTSTART:20200229T000000Z RRULE:FREQ=YEARLY;INTERVAL=2;COUNT=2", "B": "DTSTART:20200229T000000Z RDATE:20200301T000000Z,20300301T000000Z", "C": "DTSTART:20200229T000000Z", "D": "DTSTART:20200229T000000Z RRULE:FREQ=MONTHLY;INTERVAL=30"})
+    assert {r[1] for r in m.last_occurrence_between(far, ts("20200101T000000Z"), ts("20201231T000000Z")).collect()} == {"C"}
 
 
 def test_values_end_where_the_next_property_begins(spark):
@@ -230,19 +243,6 @@ def test_upsert_prune_diff_and_terms(spark, tables):
     assert {(r["term"], r["included"], tuple(r["exceptions"])) for r in t} == {("CATEGORY_ONE", True, (at,)), ("CATEGORY_FOUR", True, (at,)), ("CATEGORY_OVERRIDE", False, (at,))}
 
 
-def test_conclusions_are_boolean_logic(spark):
-    sides = [(i, x) for i in (True, False) for n in range(4) for x in itertools.combinations((1, 2, 3), n)]
-    rows = [((a[0], list(a[1])), (b[0], list(b[1]))) for a in sides for b in sides]
-    kind = "struct<included:boolean,exceptions:array<bigint>>"
-    df = spark.createDataFrame(rows, f"a {kind}, b {kind}").select("a", "b", m.conclude_and(F.col("a"), F.col("b")).alias("and"), m.conclude_or(F.col("a"), F.col("b")).alias("or"), m.conclude_not(F.col("a")).alias("not"))
-    holds = lambda c, t: c["included"] != (t in c["exceptions"])
-    for r in df.collect():
-        for t in (1, 2, 3, 4):
-            assert holds(r["and"], t) == (holds(r["a"], t) and holds(r["b"], t))
-            assert holds(r["or"], t) == (holds(r["a"], t) or holds(r["b"], t))
-            assert holds(r["not"], t) != holds(r["a"], t)
-
-
 def test_rendering(tables):
     e, o = tables
     r = instances(e, o).filter("event_uid like 'OVERRIDDEN%' and has_override").select("dtstart_ts", render_instance().alias("l")).orderBy("dtstart_ts").first()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import EVENT_KEY, OCCURRENCE_KEY
@@ -38,13 +38,30 @@ def delete(rows: DataFrame, keys: DataFrame, key: tuple[str, ...] = EVENT_KEY) -
 
 
 def last_occurrence_between(events: DataFrame, low: int, high: int) -> DataFrame:
-    """Keys of events whose last occurrence ends within [low, high]."""
+    """Keys of events whose last occurrence ends within [low, high]: one ends there and none later, however much later
+    that might be."""
     if low > high:
         raise ValueError("the range ends before it begins")
-    # One step past the range tells whether there is a later one; a year and a day holds one of any usual rule.
-    at = occurrences(events, until=high + 367 * 86_400).join(events.select(*EVENT_KEY, base_duration().alias("_d")), list(EVENT_KEY))
-    end = F.col("occurrence_ts") + F.col("_d")
-    return at.groupBy(*EVENT_KEY).agg(F.bool_or(end >= low).alias("in"), F.bool_or(end > high).alias("past")).filter("in and not past").select(*EVENT_KEY)
+    ends = lambda at: at.join(events.select(*EVENT_KEY, base_duration().alias("_d")), list(EVENT_KEY)).withColumn("_end", F.col("occurrence_ts") + F.col("_d"))
+    inside = ends(occurrences(events, until=max(high, high - _shortest(events)), low=F.lit(low) - base_duration())).filter(F.col("_end").between(low, high)).select(*EVENT_KEY).distinct()
+    # The first occurrence that would end after the range is enough.
+    past = ends(occurrences(events.join(inside, list(EVENT_KEY), "left_semi"), low=F.lit(high + 1) - base_duration(), cap=1)).filter(F.col("_end") > high)
+    return inside.join(past.select(*EVENT_KEY).distinct(), list(EVENT_KEY), "left_anti")
+
+
+def _shortest(events: DataFrame) -> int:
+    """The least duration if any is negative, else 0: such events may start after they end."""
+    return min(0, events.agg(F.min(base_duration())).first()[0] or 0)
+
+
+def counted(before: DataFrame, after: DataFrame, key: tuple[str, ...] = EVENT_KEY) -> DataFrame:
+    """calendar_uid, removed: how many of a calendar's rows a deletion or pruning took."""
+    return before.join(after.select(*key), list(key), "left_anti").groupBy("calendar_uid").agg(F.count("*").alias("removed"))
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """A table of events or overrides as Parquet, in a folder for each calendar, which reading one calendar opens alone."""
+    rows.write.mode("overwrite").partitionBy("calendar_uid").parquet(path)
 
 
 def prune_events(events: DataFrame, low: int, high: int) -> DataFrame:
@@ -79,29 +96,6 @@ def term_index(events: DataFrame, overrides: DataFrame, column: str) -> DataFram
     return rows.groupBy(*EVENT_KEY, "term", "included").agg(F.array_sort(F.collect_set("occurrence_ts")).alias("exceptions"))
 
 
-def conclude_and(a: Column, b: Column) -> Column:
-    """Both of two (included, exceptions) conclusions."""
-    return _conclude(a, b, F.array_union, F.array_intersect, True)
-
-
-def conclude_or(a: Column, b: Column) -> Column:
-    return _conclude(a, b, F.array_intersect, F.array_union, False)
-
-
-def conclude_not(a: Column) -> Column:
-    return F.struct((~a["included"]).alias("included"), a["exceptions"].alias("exceptions"))
-
-
-def _conclude(a: Column, b: Column, of_included, of_excluded, both: bool) -> Column:
-    x, y = a["exceptions"], b["exceptions"]
-    a_in, b_in = a["included"], b["included"]
-    # Of an included and an excluded one the excluded one's exceptions without the other's remain for AND, and the
-    # included one's without the other's for OR.
-    mixed = F.when(a_in, F.array_except(y, x) if both else F.array_except(x, y)).otherwise(F.array_except(x, y) if both else F.array_except(y, x))
-    out = F.when(a_in & b_in, of_included(x, y)).when(~a_in & ~b_in, of_excluded(x, y)).otherwise(mixed)
-    return F.struct(((a_in & b_in) if both else (a_in | b_in)).alias("included"), F.array_sort(out).alias("exceptions"))
-
-
 def latest_change(changes: DataFrame) -> DataFrame:
     """The last change of each occurrence or event in a change log."""
     order = Window.partitionBy("calendar_uid", "event_uid", "occurrence_ts").orderBy(F.desc("last_modified_ts"), F.desc("op"), F.desc("message"))

@@ -100,6 +100,15 @@ def _clock(r: Column, start: Column) -> Column:
     return F.flatten(F.transform(hours, lambda h: F.flatten(F.transform(minutes, lambda m: F.transform(seconds, lambda s: (h * 3600 + m * 60 + s).cast("long"))))))
 
 
+def _within_step(r: Column, local: Column) -> Column:
+    """An hour's or a minute's occurrences: BYMINUTE and BYSECOND that are finer than FREQ give several."""
+    either = lambda part, own: F.when(_some(part), part).otherwise(F.array(own.cast("int")))
+    minutes = F.when(r["freq"] == "HOURLY", either(r["byminute"], F.floor(local / 60) % 60)).otherwise(F.array((F.floor(local / 60) % 60).cast("int")))
+    seconds = F.when(r["freq"].isin("HOURLY", "MINUTELY"), either(r["bysecond"], local % 60)).otherwise(F.array((local % 60).cast("int")))
+    hour = F.floor(local / 3600) * 3600
+    return F.array_distinct(F.flatten(F.transform(minutes, lambda m: F.transform(seconds, lambda x: (hour + m * 60 + x).cast("long")))))
+
+
 #: Parts of a rule that choose among its steps.
 _CHOOSING = ("byday", "bymonthday", "bymonth", "byyearday", "byweekno", "bysetpos", "byhour", "byminute", "bysecond")
 
@@ -175,9 +184,11 @@ def _chosen_steps(rows: DataFrame, rule: Column) -> DataFrame:
     days = rows.withColumn("_day", F.explode(F.sequence("_b", "_e"))).filter(_has(rule["bymonth"], F.month(day)) & _signed(rule["bymonthday"], F.dayofmonth(day), F.dayofmonth(F.last_day(day))) & _has(rule["byday"], _day_name(day)))
     midnight = F.unix_date("_day").cast("long") * DAY
     first = F.greatest(F.lit(0), F.ceil((midnight - F.col("_start")) / F.col("_step"))).cast("long")
-    last = F.floor((F.least(midnight + DAY - 1, F.col("_end")) - F.col("_start")) / F.col("_step")).cast("long")
-    out = days.withColumns({"_first": first, "_steps": last}).filter("_steps >= _first").withColumn("_k", F.explode(F.sequence("_first", "_steps")))
-    out = out.withColumn("_local", F.col("_start") + F.col("_k") * F.col("_step"))
+    # A step that begins after the end may still expand to what comes before it, in its hour or minute.
+    last = F.floor((F.least(midnight + DAY - 1, F.col("_end") + 3599) - F.col("_start")) / F.col("_step")).cast("long")
+    out = days.withColumns({"_first": F.greatest(F.lit(0), first - F.ceil(F.lit(3599) / F.col("_step"))).cast("long"), "_steps": last}).filter("_steps >= _first").withColumn("_k", F.explode(F.sequence("_first", "_steps")))
+    out = out.withColumn("_local", F.col("_start") + F.col("_k") * F.col("_step")).filter(F.floor(F.col("_local") / DAY) == F.unix_date("_day"))
+    out = out.withColumn("_local", F.explode(_within_step(rule, F.col("_local")))).filter("_local >= _start and _local <= _end")
     s = F.pmod(F.col("_local"), F.lit(DAY))
     keep = out.filter(_has(rule["byhour"], F.floor(s / 3600).cast("int")) & _has(rule["byminute"], (F.floor(s / 60) % 60).cast("int")) & _has(rule["bysecond"], (s % 60).cast("int")))
     return _counted(keep, rule)
@@ -197,6 +208,9 @@ def _day_steps(rows: DataFrame, rule: Column, placed_too: bool) -> DataFrame:
     low = F.date_from_unix_date((F.floor(F.col("_low") / DAY) - 1).cast("int"))
     at = F.when(rule["count"].isNull(), F.greatest(start, low)).otherwise(start)
     begin = F.when(rule["freq"] == "WEEKLY", _week_start(at, rule["wkst"])).when(rule["freq"] == "MONTHLY", F.trunc(at, "MM")).when(rule["freq"] == "YEARLY", F.trunc(at, "YEAR")).otherwise(at)
+    # BYSETPOS also counts a last period to its end, of which what comes after the span goes later.
+    full = F.when(rule["freq"] == "WEEKLY", F.date_add(_week_start(end, rule["wkst"]), 6)).when(rule["freq"] == "MONTHLY", F.last_day(end)).when(rule["freq"] == "YEARLY", F.make_date(F.year(end), F.lit(12), F.lit(31))).otherwise(end)
+    end = F.when(_some(rule["bysetpos"]), full).otherwise(end)
     facts = lambda df, day, name: df.select("*", F.explode(F.array(_day_facts(F.col(day), rule))).alias(name))
     rows = facts(rows.withColumns({"_s": start, "_b": begin, "_e": end}).filter("_e >= _b"), "_s", "_start_facts")
     # Facts through one-element arrays: they are made once a day, apart from the conditions that read them.

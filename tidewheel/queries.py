@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, ical
-from .model import DAY, EVENT_KEY, RULE
+from .model import CALENDARS, DAY, EVENT_KEY, OCCURRENCE_KEY, RULE
 from .operators import maintenance as m
 from .operators import predicates as p
 from .operators.instances import base_duration, instances
 from .operators.recurrence import occurrences
-from .plans.queries import BY_DISTANCE_THEN_START, BY_START_THEN_DISTANCE, Bound, Query, group, list_events, list_instances, list_overrides, query_events, query_instances, rendered
+from .plans import commands
+from .plans.queries import BY_DISTANCE_THEN_START, BY_START_THEN_DISTANCE, Bound, Query, get, group, list_events, list_instances, list_overrides, query_events, query_instances, rendered
 from .sources import orders
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -192,18 +193,6 @@ _add("terms_index", lambda s, d: _terms(s, d).select("event_uid", "term", "inclu
 _add("not_terms", lambda s, d: _terms(s, d).filter("term = 'RF_R'").select("event_uid", (~F.col("included")).alias("included"), _shown(F.col("exceptions")).alias("exceptions")), _TERMS_SQL + "SELECT event_uid, NOT included AS included, exceptions FROM terms WHERE term = 'RF_R'")
 
 
-def _algebra(s: SparkSession, d: str) -> DataFrame:
-    """AND of a term an event may lack and one it may have; absent terms are excluded without exception."""
-    t = _terms(s, d)
-    side = lambda term, n: t.filter(F.col("term") == term).select("event_uid", F.struct("included", "exceptions").alias(n))
-    none = F.struct(F.lit(False).alias("included"), F.array().cast("array<bigint>").alias("exceptions"))
-    both = side("BUILDING", "x").join(side("RF_R", "y"), "event_uid", "full_outer")
-    a, b = F.coalesce("x", none), F.coalesce("y", none)
-    out = both.select("event_uid", m.conclude_or(a, b).alias("o"), m.conclude_and(a, m.conclude_not(b)).alias("n"))
-    return out.select("event_uid", F.col("o.included").alias("or_included"), _shown(F.col("o.exceptions")).alias("or_exceptions"), F.col("n.included").alias("and_not_included"), _shown(F.col("n.exceptions")).alias("and_not_exceptions"))
-
-
-_add("conclusion_algebra", _algebra)
 _add(
     "duration_roundtrip", lambda s, d: orders.overrides(s, d).select("event_uid", "occurrence_ts", ical.duration_seconds(ical.show_duration(F.col("duration_s"))).alias("seconds"), ical.show_duration(F.col("duration_s")).alias("shown")),
     "SELECT event_uid, occurrence_ts, duration_s AS seconds, CASE WHEN duration_s = 0 THEN 'PT0S' ELSE 'PT' || CASE WHEN duration_s >= 3600 THEN (duration_s // 3600) || 'H' ELSE '' END || CASE WHEN duration_s % 3600 > 0 THEN (duration_s % 3600 // 60) || 'M' ELSE '' END END AS shown FROM ov",
@@ -268,3 +257,57 @@ _add(
 )
 _add("evi_unbounded_page", lambda s, d: _evi(query_instances(_with_rule(s, d, count=F.lit(None)), orders.overrides(s, d), Query(after=Bound(T1, "GTE"), limit=60))), f", o2 AS (SELECT ev.*, dtstart_ts + k * step * 86400 AS occurs FROM (SELECT *, unnest(range(greatest(0, (820454400 - dtstart_ts) // (step * 86400)), greatest(0, (820454400 - dtstart_ts) // (step * 86400)) + 5)) AS k FROM ev) ev WHERE dtstart_ts + k * step * 86400 BETWEEN {T1} AND {T1 + 3 * DAY}), i2 AS (SELECT o2.event_uid, o2.occurs AS dtstart_ts, o2.occurs + coalesce(ov.duration_s, o2.dur) AS dtend_ts, ov.event_uid IS NOT NULL AS has_override, coalesce(ov.categories, o2.categories) AS categories, class, CASE WHEN coalesce(ov.geo_overridden, FALSE) THEN NULL ELSE lat END AS lat, CASE WHEN coalesce(ov.geo_overridden, FALSE) THEN NULL ELSE long END AS long FROM o2 LEFT JOIN ov ON ov.event_uid = o2.event_uid AND ov.occurrence_ts = o2.occurs) SELECT {_EVI_SQL} FROM i2 {_PAGE_SQL.format(60, 0)}")
 _add("haversine_micro", lambda s, d: orders.events(s, d).select("event_uid", geo.micro_km(geo.haversine_km(F.col("geo.lat"), F.col("geo.long"), LAT, LONG)).alias("dist_micro")).fillna(-1, ["dist_micro"]), f"SELECT event_uid, coalesce({_MICRO}, -1) AS dist_micro FROM ev")
+
+
+def _calendars(s: SparkSession, d: str) -> DataFrame:
+    held = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_mktsegment").alias("calendar_uid"), F.lit(False).alias("indexes_active")).distinct()
+    new = s.read.parquet(f"{d}/orders.parquet").select(F.explode(F.array("o_orderpriority", F.lit("BUILDING"))).alias("calendar_uid"))
+    return commands.set_calendars(s.createDataFrame([], CALENDARS).unionByName(held), new).rows
+
+
+def _number(c: str = "event_uid") -> Column:
+    return F.substring(c, 5, 20).cast("long")
+
+
+def _written(s: SparkSession, d: str) -> DataFrame:
+    """Bodies of the order calendar with a stamp before, at or after the held one, one in five with a fault."""
+    k, at = _number(), F.to_timestamp(F.regexp_extract("body", r"DTSTART:(\d{8}T\d{6})Z", 1), "yyyyMMdd'T'HHmmss")
+    stamp = F.date_format(F.timestamp_seconds(F.unix_seconds(at) + (k % 3 - 1) * 10), "yyyyMMdd'T'HHmmss")
+    faults = F.element_at(F.array(*map(F.lit, (" EXDATE:rubbish", " GEO:91;0", " DTEND;TZID=Nowhere/Land:20200101T000000", " RRULE:FREQ=DAILY;INTERVAL=1;COUNT=abc", " DURATION:soon"))), (k / 5 % 5 + 1).cast("int"))
+    return _bodies(s, d).withColumn("body", F.concat("body", F.lit(" LAST-MODIFIED:"), stamp, F.lit("Z"), F.when(k % 5 == 0, faults).otherwise("")))
+
+
+_NUMBER_SQL = "CAST(substr(event_uid, 5) AS BIGINT)"
+_FAULT_SQL = "['EXDATE has a member that is no date-time', 'GEO is no place', 'DTEND has an unknown TZID', 'RRULE has a part that says nothing', 'DURATION is none']"
+_add("cal_set", _calendars, "SELECT DISTINCT c_mktsegment AS calendar_uid, FALSE AS indexes_active FROM customer UNION SELECT o_orderpriority, TRUE FROM orders")
+_add("evt_set_changes", lambda s, d: commands.set_events(orders.events(s, d), _written(s, d)).changes.select("event_uid", "op", "last_modified_ts"), f"SELECT event_uid, 'evt_set' AS op, dtstart_ts + ({_NUMBER_SQL} % 3 - 1) * 10 AS last_modified_ts FROM ev WHERE {_NUMBER_SQL} % 3 > 0 AND {_NUMBER_SQL} % 5 > 0")
+_add("evt_set_errors", lambda s, d: commands.set_events(orders.events(s, d), _written(s, d)).errors.select("event_uid", "error"), f"SELECT event_uid, {_FAULT_SQL}[{_NUMBER_SQL} // 5 % 5 + 1] AS error FROM ev WHERE {_NUMBER_SQL} % 5 = 0")
+_add("evt_get", lambda s, d: get(orders.events(s, d), event_uid="ORD-5").select("event_uid", "dtstart_ts", "class"), "SELECT event_uid, dtstart_ts, class FROM ev WHERE event_uid = 'ORD-5'")
+_add("evo_get", lambda s, d: get(orders.overrides(s, d), calendar_uid=orders.CALENDAR, event_uid="ORD-7").select("event_uid", "occurrence_ts", "duration_s"), "SELECT event_uid, occurrence_ts, duration_s FROM ov WHERE event_uid = 'ORD-7'")
+
+
+def _newer(s: SparkSession, d: str) -> DataFrame:
+    o = orders.overrides(s, d)
+    return m.upsert(o, o.filter("duration_s > 1500").withColumn("duration_s", F.col("duration_s") + 60), OCCURRENCE_KEY)
+
+
+_add("evo_set", lambda s, d: _newer(s, d).select("event_uid", "occurrence_ts", "duration_s"), "SELECT event_uid, occurrence_ts, CASE WHEN duration_s > 1500 THEN duration_s + 60 ELSE duration_s END AS duration_s FROM ov")
+_add("evo_delete", lambda s, d: commands.delete_overrides(orders.overrides(s, d), orders.overrides(s, d).filter("geo_overridden")).changes.select("event_uid", "occurrence_ts", "op"), "SELECT event_uid, occurrence_ts, 'evo_del' AS op FROM ov WHERE geo_overridden")
+_add("evo_prune_count", lambda s, d: m.counted(orders.overrides(s, d), m.prune_overrides(orders.overrides(s, d), T1, T2), OCCURRENCE_KEY), f"SELECT '{orders.CALENDAR}' AS calendar_uid, count(*) AS removed FROM ov WHERE occurrence_ts BETWEEN {T1} AND {T2}")
+_add("evt_prune_changes", lambda s, d: commands.prune_events(orders.events(s, d), T1, T2).changes.select("event_uid", "op"), f"SELECT event_uid, 'evt_prune' AS op FROM ev WHERE dtstart_ts + (n - 1) * step * 86400 + dur BETWEEN {T1} AND {T2}")
+_until = lambda days: {"count": F.lit(None), "until_ts": F.col("dtstart_ts") + days * DAY}
+_DAYS_SQL = "(SELECT event_uid, dtstart_ts, dtstart_ts + k * 86400 AS occurs, make_timestamp((dtstart_ts + k * 86400) * 1000000) AS t FROM (SELECT *, unnest(range({})) AS k FROM ev))"
+_add("rrule_yearly", lambda s, d: _at(occurrences(_with_rule(s, d, freq="YEARLY", interval=F.lit(1), **_until(1500)))), f"SELECT event_uid, occurs AS occurrence_ts FROM {_DAYS_SQL.format(1501)} WHERE month(t) = month(make_timestamp(dtstart_ts * 1000000)) AND day(t) = day(make_timestamp(dtstart_ts * 1000000))")
+_add("rrule_hourly_byminute", lambda s, d: _at(occurrences(_with_rule(s, d, freq="HOURLY", interval=F.lit(6), byminute=F.array(F.lit(0), F.lit(30)), **_until(1)))), "SELECT event_uid, dtstart_ts + 21600 * h + 1800 * i AS occurrence_ts FROM ev, (SELECT unnest(range(5)) AS h), (SELECT unnest(range(2)) AS i) WHERE 21600 * h + 1800 * i <= 86400")
+_add("rrule_hourly_byhour", lambda s, d: _at(occurrences(_with_rule(s, d, freq="HOURLY", interval=F.lit(1), byhour=F.array(F.lit(9), F.lit(17)), **_until(3)))), "SELECT event_uid, dtstart_ts + 86400 * g + 3600 * h AS occurrence_ts FROM ev, (SELECT unnest(range(3)) AS g), (SELECT unnest([9, 17]) AS h)")
+_add("rrule_bysetpos", lambda s, d: _at(occurrences(_with_rule(s, d, freq="MONTHLY", interval=F.lit(1), byday=F.array(*map(F.lit, ("MO", "TU", "WE", "TH", "FR"))), bysetpos=F.array(F.lit(-1)), **_until(100)))), f"SELECT event_uid, occurs AS occurrence_ts FROM {_DAYS_SQL.format(101)} WHERE CAST(t AS DATE) = last_day(t) - CAST(greatest(isodow(last_day(t)) - 5, 0) AS INTEGER)")
+
+
+def _with_exrule(s: SparkSession, d: str) -> DataFrame:
+    e = orders.events(s, d)
+    fields = [x.split(":") for x in RULE[7:-1].split(",")]
+    other = {"interval": 2 * F.col("rule.interval"), "count": F.lit(None)}
+    return e.withColumn("exrule", F.struct(*(other.get(f, F.col(f"rule.{f}")).cast(t).alias(f) for f, t in fields)))
+
+
+_add("exrule", lambda s, d: _at(occurrences(_with_exrule(s, d))), "SELECT event_uid, occurs AS occurrence_ts FROM occ WHERE k % 2 = 1")

@@ -7,6 +7,8 @@ with anything wrong come back with the reason instead of a row.
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ CARRIED = (
     "ACTION", "ATTACH", "ATTENDEE", "CALSCALE", "COMMENT", "COMPLETED", "CONTACT", "CREATED", "DESCRIPTION", "DTSTAMP", "DUE", "FREEBUSY", "LOCATION", "METHOD", "ORGANIZER",
     "PERCENT-COMPLETE", "PRIORITY", "PRODID", "RECURRENCE-ID", "REPEAT", "REQUEST-STATUS", "RESOURCES", "SEQUENCE", "STATUS", "SUMMARY", "TRANSP", "TRIGGER", "TZID", "TZNAME",
     "TZOFFSETFROM", "TZOFFSETTO", "TZURL", "URL", "VERSION", "NAME", "REFRESH-INTERVAL", "SOURCE", "COLOR", "IMAGE", "CONFERENCE", "PARTICIPANT-TYPE", "STRUCTURED-DATA", "STYLED-DESCRIPTION",
+    "ACKNOWLEDGED", "BUSYTYPE", "CALENDAR-ADDRESS", "CONCEPT", "LINK", "PROXIMITY", "REFID", "RESOURCE-TYPE", "TZID-ALIAS-OF", "TZUNTIL", "XML",
 )
 _NAME = "|".join(sorted((*KNOWN, *CARRIED), key=len, reverse=True)) + "|X-[A-Za-z0-9-]+"
 #: A name, its parameters (values may be quoted), and the text up to the next property or the end.
@@ -26,6 +29,27 @@ _LINE = rf"(?s)(?:^|(?<=\s))({_NAME})((?:;[A-Za-z0-9-]+=(?:\"[^\"]*\"|[^;:\"\s]*
 _RULE_LISTS = {"bymonthday": "BYMONTHDAY", "bymonth": "BYMONTH", "byyearday": "BYYEARDAY", "byweekno": "BYWEEKNO", "bysetpos": "BYSETPOS", "byhour": "BYHOUR", "byminute": "BYMINUTE", "bysecond": "BYSECOND"}
 
 
+_SIGNED = lambda most: rf"[+-]?(?:{most})"
+#: What a rule's parts may say.
+_PARTS = {
+    "FREQ": "SECONDLY|MINUTELY|HOURLY|DAILY|WEEKLY|MONTHLY|YEARLY", "INTERVAL": r"0*[1-9]\d{0,8}", "COUNT": r"0*[1-9]\d{0,8}", "UNTIL": r"\d{8}(?:T\d{6}Z?)?", "WKST": "|".join(WEEKDAYS),
+    "BYDAY": rf"(?:[+-]?[1-9]\d?)?(?:{'|'.join(WEEKDAYS)})", "BYMONTHDAY": _SIGNED("0?[1-9]|[12]\\d|3[01]"), "BYYEARDAY": _SIGNED("0{0,2}[1-9]|0?[1-9]\\d|[12]\\d\\d|3[0-5]\\d|36[0-6]"),
+    "BYWEEKNO": _SIGNED("0?[1-9]|[1-4]\\d|5[0-3]"), "BYSETPOS": _SIGNED("0{0,2}[1-9]|0?[1-9]\\d|[12]\\d\\d|3[0-5]\\d|36[0-6]"), "BYMONTH": "0?[1-9]|1[0-2]", "BYHOUR": "[01]?\\d|2[0-3]", "BYMINUTE": "[0-5]?\\d", "BYSECOND": "[0-5]?\\d|60",
+}
+_PART = "|".join(f"{n}=(?:{v})(?:,(?:{v}))*" if n.startswith("BY") else f"{n}=(?:{v})" for n, v in _PARTS.items())
+_RULE_FORM = f"^(?:{_PART})(?:;(?:{_PART}))*;?$"
+
+
+#: Names that zone files carry for other ends begin in lower case.
+_ZONES = sorted(z for z in available_timezones() if z[0].isupper() and z != "Factory")
+
+
+def _zone(params: Column) -> Column:
+    """The TZID of a line, UTC without one, and null for one that isn't known."""
+    own = _param(params, "TZID")
+    return F.when(own.isNull(), F.lit("UTC")).when(F.array_contains(F.split(F.lit(",".join(_ZONES)), ","), own), own)
+
+
 def content_lines(body: Column) -> Column:
     """array<struct<name, params, value>> of a body."""
     found = F.regexp_extract_all(body, F.lit(_LINE), F.lit(0))
@@ -49,31 +73,52 @@ def _last(lines: Column, name: str) -> Column:
 def _instant(line: Column, value: Column | None = None) -> Column:
     """UTC seconds of a date-time in its TZID, or in UTC."""
     value = line["value"] if value is None else value
-    return ical.to_utc(ical.local_seconds(value), F.coalesce(_param(line["params"], "TZID"), F.lit("UTC")))
+    return ical.to_utc(ical.local_seconds(value), F.when(value.endswith("Z"), F.lit("UTC")).otherwise(_zone(line["params"])))
 
 
-def _rule(value: Column) -> Column:
+def _rule(value: Column, zone: Column) -> Column:
+    """A rule's value as a struct. UNTIL without Z is a local time in DTSTART's zone."""
     part = lambda n: (lambda v: F.when(v != "", v))(F.regexp_extract(F.upper(value), rf"(?:^|;){n}=([^;]*)", 1))
     ints = lambda n: F.transform(F.split(part(n), ","), lambda x: x.try_cast("int"))
-    fields = [part("FREQ").alias("freq"), part("INTERVAL").try_cast("int").alias("interval"), part("COUNT").try_cast("int").alias("count"), ical.local_seconds(part("UNTIL")).alias("until_ts"), F.split(part("BYDAY"), ",").alias("byday")]
+    fields = [part("FREQ").alias("freq"), part("INTERVAL").try_cast("int").alias("interval"), part("COUNT").try_cast("int").alias("count"), ical.to_utc(ical.local_seconds(part("UNTIL")), F.when(part("UNTIL").endswith("Z"), F.lit("UTC")).otherwise(zone)).alias("until_ts"), F.split(part("BYDAY"), ",").alias("byday")]
     fields += [ints(n).alias(c) for c, n in _RULE_LISTS.items()] + [F.coalesce(part("WKST"), F.lit(WEEKDAYS[0])).alias("wkst")]
     order = [f.split(":")[0] for f in RULE[len("struct<") : -1].replace("array<string>", "a").replace("array<int>", "a").split(",")]
     return F.when(value.isNotNull(), F.struct(*fields)).cast("struct<" + ",".join(f"{n}:{t}" for n, t in zip(order, ["string", "int", "int", "bigint", "array<string>", *["array<int>"] * 8, "string"], strict=True)) + ">")
 
 
-def _rule_fault(rule: Column, name: str) -> Column:
-    sound = rule["freq"].isin("SECONDLY", "MINUTELY", "HOURLY", "DAILY", "WEEKLY", "MONTHLY", "YEARLY") & (rule["interval"] > 0)
-    return F.when(rule.isNotNull() & ~F.coalesce(sound, F.lit(False)), F.lit(f"{name} needs FREQ and INTERVAL"))
+def _rule_fault(value: Column, rule: Column, name: str) -> Column:
+    whole = F.upper(value).rlike(_RULE_FORM)
+    sound = rule["freq"].isNotNull() & rule["interval"].isNotNull()
+    ends = rule["until_ts"].isNotNull() | ~F.upper(value).contains("UNTIL=")
+    return (
+        F.when(value.isNull(), F.lit(None)).when(~F.coalesce(sound, F.lit(False)), F.lit(f"{name} needs FREQ and INTERVAL"))
+        .when(~whole, F.lit(f"{name} has a part that says nothing")).when(~ends, F.lit(f"{name} has no such UNTIL"))
+    )
 
 
 def _time_fault(line: Column, name: str) -> Column:
-    local, tz = ical.local_seconds(line["value"]), F.coalesce(_param(line["params"], "TZID"), F.lit("UTC"))
-    return F.when(line.isNull(), F.lit(None)).when(local.isNull(), F.lit(f"{name} is no date-time")).when(~ical.is_single(local, tz), F.lit(f"{name} names no single instant"))
+    local, tz = ical.local_seconds(line["value"]), F.when(line["value"].endswith("Z"), F.lit("UTC")).otherwise(_zone(line["params"]))
+    return (
+        F.when(line.isNull(), F.lit(None)).when(_zone(line["params"]).isNull(), F.lit(f"{name} has an unknown TZID")).when(local.isNull(), F.lit(f"{name} is no date-time"))
+        .when(~ical.is_single(local, tz), F.lit(f"{name} names no single instant"))
+    )
+
+
+def _dates_fault(lines: Column, name: str) -> Column:
+    """Whether any member of the lines of a name can't be read."""
+    bad = F.exists(_of(lines, name), lambda x: _zone(x["params"]).isNull() | F.exists(ical.members(x["value"]), lambda v: ical.local_seconds(v).isNull()))
+    return F.when(bad, F.lit(f"{name} has a member that is no date-time"))
+
+
+def _geo_fault(line: Column, lat: Column, long: Column) -> Column:
+    """A blank place is none; any other is a latitude and a longitude."""
+    there = F.coalesce(lat.between(-90, 90) & long.between(-180, 180), F.lit(False))
+    return F.when(line.isNotNull() & (F.regexp_replace(line["value"], r"[\s;]", "") != "") & ~there, F.lit("GEO is no place"))
 
 
 def _properties(lines: Column) -> dict[str, Column]:
     geo = _last(lines, "GEO")
-    lat, long = F.split(geo["value"], ";")[0].try_cast("double"), F.try_element_at(F.split(geo["value"], ";"), F.lit(2)).try_cast("double")
+    lat, long = (F.try_element_at(F.split(geo["value"], ";"), F.lit(k)).try_cast("double") for k in (1, 2))
     modified = _last(lines, "LAST-MODIFIED")
     carried = F.filter(lines, lambda x: ~x["name"].isin(*KNOWN))
     names = F.array_sort(F.array_distinct(F.transform(carried, lambda x: x["name"])))
@@ -82,6 +127,7 @@ def _properties(lines: Column) -> dict[str, Column]:
     return {
         "last_modified_ts": F.coalesce(_instant(modified), F.unix_seconds(F.current_timestamp())), "last_modified_ms": F.coalesce(_param(modified["params"], "X-MILLIS").try_cast("int"), F.lit(0)),
         "duration_s": ical.duration_seconds(_last(lines, "DURATION")["value"]), "categories": listed("CATEGORIES"), "location_type": F.when(F.size(_of(lines, "LOCATION-TYPE")) > 0, F.array_sort(F.array_distinct(ical.members(_last(lines, "LOCATION-TYPE")["value"])))),
+        "faults": F.coalesce(F.when(_last(lines, "DURATION").isNotNull() & ical.duration_seconds(_last(lines, "DURATION")["value"]).isNull(), F.lit("DURATION is none")), _geo_fault(geo, lat, long), _time_fault(modified, "LAST-MODIFIED")),
         "class": F.nullif(F.trim(_last(lines, "CLASS")["value"]), F.lit("")),
         "related_to": F.when(F.size(_of(lines, "RELATED-TO")) > 0, F.array_distinct(F.transform(_of(lines, "RELATED-TO"), lambda x: F.struct(F.coalesce(_param(x["params"], "RELTYPE"), F.lit("PARENT")).alias("reltype"), x["value"].alias("uid"))))).cast(RELATED),
         "geo": F.when(lat.isNotNull() & long.isNotNull(), F.struct(lat.alias("lat"), long.alias("long"))).cast(GEO), "passive": F.map_from_entries(grouped).cast(PASSIVE),
@@ -95,13 +141,15 @@ def parse_events(bodies: DataFrame) -> DataFrame:
     p = _properties(l)
     dates = lambda name: F.array_sort(F.array_distinct(F.flatten(F.transform(_of(l, name), lambda x: F.transform(ical.members(x["value"]), lambda v: _instant(x, v))))))
     start, end, uid = _last(l, "DTSTART"), _last(l, "DTEND"), _last(l, "UID")["value"]
-    rrule, exrule = _rule(_last(l, "RRULE")["value"]), _rule(_last(l, "EXRULE")["value"])
+    zone = _zone(start["params"])
+    rules = {n: _last(l, n)["value"] for n in ("RRULE", "EXRULE")}
+    rrule, exrule = (_rule(v, zone) for v in rules.values())
     error = F.coalesce(
         F.when(F.size(l) == 0, F.lit("no property")), F.when(uid != F.col("event_uid"), F.lit("UID differs from the key")), F.when(start.isNull(), F.lit("no DTSTART")), _time_fault(start, "DTSTART"), _time_fault(end, "DTEND"),
-        _rule_fault(rrule, "RRULE"), _rule_fault(exrule, "EXRULE"), F.when(_last(l, "DURATION").isNotNull() & p["duration_s"].isNull(), F.lit("DURATION is none")),
+        _rule_fault(rules["RRULE"], rrule, "RRULE"), _rule_fault(rules["EXRULE"], exrule, "EXRULE"), _dates_fault(l, "RDATE"), _dates_fault(l, "EXDATE"), p["faults"],
     )
     return rows.select(
-        "calendar_uid", "event_uid", p["last_modified_ts"].alias("last_modified_ts"), p["last_modified_ms"].alias("last_modified_ms"), _instant(start).alias("dtstart_ts"), F.coalesce(_param(start["params"], "TZID"), F.lit("UTC")).alias("tzid"),
+        "calendar_uid", "event_uid", p["last_modified_ts"].alias("last_modified_ts"), p["last_modified_ms"].alias("last_modified_ms"), _instant(start).alias("dtstart_ts"), F.coalesce(zone, F.lit("UTC")).alias("tzid"),
         _instant(end).alias("dtend_ts"), p["duration_s"].alias("duration_s"), rrule.alias("rule"), exrule.alias("exrule"), dates("RDATE").alias("rdates"), dates("EXDATE").alias("exdates"),
         *(p[c].alias(c) for c in ("categories", "location_type", "class", "related_to", "geo", "passive")), error.alias("error"),
     )
@@ -115,7 +163,7 @@ def parse_overrides(bodies: DataFrame) -> DataFrame:
     at = ical.local_seconds(F.col("occurrence"))
     scheduled = F.exists(l, lambda x: x["name"].isin("RRULE", "EXRULE", "RDATE", "EXDATE"))
     own = F.coalesce(p["duration_s"], _instant(_last(l, "DTEND")) - F.coalesce(_instant(_last(l, "DTSTART")), at))
-    error = F.coalesce(F.when(at.isNull(), F.lit("the occurrence is no date-time")), F.when(scheduled, F.lit("an override has no rule or dates")))
+    error = F.coalesce(F.when(at.isNull(), F.lit("the occurrence is no date-time")), F.when(scheduled, F.lit("an override has no rule or dates")), F.when(_last(l, "UID")["value"] != F.col("event_uid"), F.lit("UID differs from the key")), _time_fault(_last(l, "DTSTART"), "DTSTART"), _time_fault(_last(l, "DTEND"), "DTEND"), p["faults"])
     return rows.select(
         "calendar_uid", "event_uid", at.alias("occurrence_ts"), p["last_modified_ts"].alias("last_modified_ts"), p["last_modified_ms"].alias("last_modified_ms"), own.alias("duration_s"),
         *(p[c].alias(c) for c in ("categories", "location_type", "class", "related_to")), (F.size(_of(l, "GEO")) > 0).alias("geo_overridden"), p["geo"].alias("geo"), p["passive"].alias("passive"), error.alias("error"),

@@ -127,7 +127,7 @@ def query_instances(events: DataFrame, overrides: DataFrame, q: Query, horizon:
         changed = overrides.select(*EVENT_KEY).distinct()
         events = events.join(fits.unionByName(changed).distinct(), list(EVENT_KEY), "left_semi")
     end = _page_end(q)
-    if until is not None or end is None:
+    if until is not None or end is None or _is_short(events):
         rows = instances(events, overrides, until, low)
     else:
         rows = _capped(events, overrides, q, low, end)
@@ -146,6 +146,16 @@ def query_instances(events: DataFrame, overrides: DataFrame, q: Query, horizon:
     return _paged(rows, q, cut, [*keys, F.col("event_uid").asc(), F.col("dtstart_ts").asc()])
 
 
+#: Occurrences of a rule up to which a page expands the whole of it.
+SHORT = 1000
+
+
+def _is_short(events: DataFrame) -> bool:
+    """Whether every rule is counted and soon over, so that expanding all is less work than finding each event's share of a page."""
+    r = F.col("rule")
+    return events.filter(r.isNotNull() & F.coalesce(r["count"] > SHORT, F.lit(True))).isEmpty()
+
+
 def _capped(events: DataFrame, overrides: DataFrame, q: Query, low: int | None, page_end: int) -> DataFrame:
     """The instances that can matter to a page when nothing bounds the rules. An event fills the page alone with the
     occurrences at or after the lower bound that no override changes; and any overridden occurrence may match."""
@@ -207,5 +217,3 @@ def rendered(rows: DataFrame, tzid: str = "UTC") -> DataFrame:
     """DTSTART and DTEND as text in a zone."""
     return rows.withColumns({"dtstart": show_time(F.col("dtstart_ts"), tzid), "dtend": show_time(F.col("dtend_ts"), tzid)})
 
-
-__all__ = ["Bound", "Query", "base_duration", "get", "group", "list_events", "list_instances", "list_overrides", "query_events", "query_instances", "rendered", "require_active"]

@@ -197,14 +197,19 @@ def test_bad_bodies_are_told_apart(spark):
     assert r["error"] is None and r["rule"]["until_ts"] == ts("20210104T010000Z") and set(r["passive"]) == {"ACKNOWLEDGED", "XML"}
 
 
-def test_finer_parts_expand_and_far_occurrences_keep_an_event(spark):
+def test_parts_finer_than_the_frequency_expand(spark):
     start = dt.datetime(2021, 2, 1, 9, 10)
     rules = ["FREQ=HOURLY;INTERVAL=1;BYMINUTE=0,30;UNTIL=20210201T130000Z", "FREQ=MINUTELY;INTERVAL=10;BYSECOND=0,30;UNTIL=20210201T100000Z", "FREQ=HOURLY;INTERVAL=5;BYMINUTE=5;BYSECOND=1,2;UNTIL=20210202T130000Z"]
     got = by_event(occurrences(parsed(spark, {f"E{k}": f"DTSTART:20210201T091000Z RRULE:{r}" for k, r in enumerate(rules)})))
     for k, r in enumerate(rules):
         assert got[f"E{k}"] == [calendar.timegm(x.timetuple()) for x in rrulestr(r.replace("Z", ""), dtstart=start)], r
-    far = parsed(spark, {"A": "DTSTART:20200229T000000Z RRULE:FREQ=YEARLY;INTERVAL=2;COUNT=2", "B": "DTSTART:20200229T000000Z RDATE:20200301T000000Z,20300301T000000Z", "C": "DTSTART:20200229T000000Z", "D": "DTSTART:20200229T000000Z RRULE:FREQ=MONTHLY;INTERVAL=30"})
-    assert {r[1] for r in m.last_occurrence_between(far, ts("20200101T000000Z"), ts("20201231T000000Z")).collect()} == {"C"}
+
+
+def test_far_occurrences_keep_an_event(spark):
+    at, rule = ts("20200301T000000Z"), {"freq": "WEEKLY", "interval": 200, "count": 2, "wkst": "MO"}
+    rows = [{"calendar_uid": "C", "event_uid": u, "dtstart_ts": at, "tzid": "UTC", "rule": r} for u, r in (("A", rule), ("B", None), ("D", rule | {"freq": "DAILY", "interval": 900, "count": None}))]
+    far = spark.createDataFrame(rows, EVENTS)
+    assert {r[1] for r in m.last_occurrence_between(far, ts("20200101T000000Z"), ts("20201231T000000Z")).collect()} == {"B"}
 
 
 def test_values_end_where_the_next_property_begins(spark):

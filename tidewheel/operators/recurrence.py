@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ical import to_local, to_utc
 from ..model import DAY, EVENT_KEY, UNIT, WEEKDAYS
+from .lineage import cut
 
 #: Steps an occurrence that a rule which rarely has one is followed for in the first round, and days an occurrence by a
 #: daily or weekly rule's part. They decide the time only.
@@ -327,8 +328,8 @@ def _followed(events: DataFrame, kinds: _Kinds, until: int | None, cap: int | No
     by_dates = F.coalesce(F.lit(until).cast("long"), F.array_max("rdates"), F.col("dtstart_ts"))
     if not (kinds.chosen or kinds.days or kinds.odd):
         return events.withColumn("_until", F.when(r.isNull(), by_dates).otherwise(F.least(r["until_ts"], F.lit(until).cast("long"))))
-    # Kept, so that plans begin here: what reads the rules would otherwise be copied into each of their uses.
-    events = events.persist()
+    # Written, so that plans begin here: what reads the rules would otherwise be copied into each of their uses.
+    events = cut(events)
     end, base = _known_end(until), F.greatest("dtstart_ts", "_low")
     page = F.lit(None).cast("long") if cap is None else _after(base, F.lit(cap))
     fixed = F.when(r.isNull(), by_dates).when(_is_fixed(r) & ~_chooses(r) & ~_is_odd(), F.least(r["until_ts"], F.lit(until).cast("long"))).when(_is_sure(r) & ~_is_odd(), F.least(end, page)).otherwise(end)
@@ -342,12 +343,12 @@ def _followed(events: DataFrame, kinds: _Kinds, until: int | None, cap: int | No
     lasting = x.isNull() | (x["count"].isNull() & x["until_ts"].isNull())
     facts = {"_last": F.coalesce(end, F.lit(LAST)), "_from": base.cast("double"), "_span": step * counted * rare, "_never": F.when(lasting, base + _joint_cycle(r, x) + 2 * DAY), "_count": r["count"]}
     own = events.columns
-    events = events.withColumns({"_need": _is_followed(until, cap), "_until": fixed, **facts}).persist()
+    events = cut(events.withColumns({"_need": _is_followed(until, cap), "_until": fixed, **facts}))
     out, rows = events.filter("not _need").select(*own, "_until"), events.filter("_need").drop("_until")
     for k in count():
         if rows.isEmpty():
             return out
-        tried = rows.withColumn("_until", F.least(F.col("_last").cast("double"), F.col("_from") + F.col("_span") * float(GROWTH**k)).cast("long")).persist()
+        tried = rows.withColumn("_until", F.least(F.col("_last").cast("double"), F.col("_from") + F.col("_span") * float(GROWTH**k)).cast("long"))
         raw = _rule_starts(tried, "rule", kinds)
         parts = {"raw": raw}
         if kinds.odd:
@@ -361,8 +362,8 @@ def _followed(events: DataFrame, kinds: _Kinds, until: int | None, cap: int | No
         ended = (F.col("_until") >= F.col("_last")) | F.coalesce(n["raw"] >= F.col("_count"), F.lit(False)) | F.coalesce((n["kept"] == 0) & (F.col("_until") >= F.col("_never")), F.lit(False))
         if cap is not None:
             ended = ended | (n["net"] >= cap)
-        # Kept, so that a round doesn't run the rounds before it again.
-        state = tried.join(seen, _ROW, "left").withColumn("_ended", ended).drop(*(f"_{p}" for p in of)).persist()
+        # Written, so that a round neither runs nor plans the rounds before it again.
+        state = cut(tried.join(seen, _ROW, "left").withColumn("_ended", ended).drop(*(f"_{p}" for p in of)))
         out = out.unionByName(state.filter("_ended").select(*own, "_until"))
         rows = state.filter("not _ended").drop("_ended", "_until")
 

@@ -187,7 +187,7 @@ def chunks(docs: DataFrame, keep: tuple[str, ...], split: str, shares: int) -> D
             new = np.empty(len(words) + len(seen.long), np.int32)
             new[order], new[len(words) :] = np.arange(len(words)), np.arange(-len(seen.long), 0)
             firsts = np.flatnonzero(np.diff(share[order], prepend=-1))
-            own = [{"share": int(share[order[a]]), "at": int(a), "words": [words[k] for k in order[a:z]]} for a, z in zip(firsts, [*firsts[1:], len(words)], strict=True)]
+            own = [{"share": int(share[order[a]]), "at": int(a), "words": [words[k] for k in order[a:z]]} for a, z in zip(firsts, [*firsts[1:], len(words)][: len(firsts)], strict=True)]
             for at, (batch, sizes, codes) in enumerate(held):
                 n = batch.num_rows
                 flat = new[np.concatenate(codes)] if codes else np.empty(0, np.int32)

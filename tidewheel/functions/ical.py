@@ -35,10 +35,11 @@ def is_single(local: Column, tzid: Column) -> Column:
     return (to_local(ts, tzid) == local) & ~twice
 
 
-def show_time(ts: Column, tzid: str = "UTC") -> Column:
+def show_time(ts: Column, tzid: str | Column = "UTC") -> Column:
     """YYYYMMDDTHHMMSS, with Z in UTC."""
-    shown = F.date_format(F.from_utc_timestamp(F.timestamp_seconds(ts), tzid), "yyyyMMdd'T'HHmmss")
-    return F.concat(shown, F.lit("Z")) if tzid == "UTC" else shown
+    zone = F.lit(tzid) if isinstance(tzid, str) else tzid
+    shown = F.date_format(F.from_utc_timestamp(F.timestamp_seconds(ts), zone), "yyyyMMdd'T'HHmmss")
+    return F.concat(shown, F.when(zone == "UTC", F.lit("Z")).otherwise(F.lit("")))
 
 
 def duration_seconds(value: Column) -> Column:
@@ -52,7 +53,7 @@ def duration_seconds(value: Column) -> Column:
 
 
 def show_duration(seconds: Column) -> Column:
-    """The shortest form by weeks, days, hours, minutes and seconds; PT0S for none."""
+    """The shortest form by weeks, days, hours, minutes and seconds; PT0S for no time, null for null."""
     left, date, clock = F.abs(seconds), [], []
     for part, unit in PARTS.items():
         n = F.floor(left / unit)
@@ -60,7 +61,7 @@ def show_duration(seconds: Column) -> Column:
         (date if part in "WD" else clock).append(F.when(n > 0, F.concat(n.cast("string"), F.lit(part))).otherwise(""))
     time = F.concat(*clock)
     shown = F.concat(F.when(seconds < 0, "-").otherwise(""), F.lit("P"), *date, F.when(time != "", F.concat(F.lit("T"), time)).otherwise(""))
-    return F.when(seconds == 0, F.lit("PT0S")).otherwise(shown)
+    return F.when(seconds == 0, F.lit("PT0S")).when(seconds.isNotNull(), shown)
 
 
 def show_list(values: Column) -> Column:

@@ -16,6 +16,7 @@ from .operators.recurrence import occurrences
 from .plans import commands
 from .plans.queries import BY_DISTANCE_THEN_START, BY_START_THEN_DISTANCE, Bound, Query, get, group, list_events, list_instances, list_overrides, query_events, query_instances, rendered
 from .sources import orders
+from .sources.lines import render_event, render_override
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -311,3 +312,23 @@ def _with_exrule(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("exrule", lambda s, d: _at(occurrences(_with_exrule(s, d))), "SELECT event_uid, occurs AS occurrence_ts FROM occ WHERE k % 2 = 1")
+
+
+def _lines(df: DataFrame, lines: Column, *key: str) -> DataFrame:
+    """Rendered rows; places only by whether they are cleared, since engines write doubles in different ways."""
+    return df.select(*key, F.array_join(F.filter(lines, lambda x: (x == "GEO:;") | ~x.startswith("GEO:")), "|").alias("body"))
+
+
+_TIME_SQL = "strftime(make_timestamp({} * 1000000), '%Y%m%dT%H%M%SZ')"
+_PT_SQL = "'DURATION:PT' || CASE WHEN {0} >= 3600 THEN ({0} // 3600) || 'H' ELSE '' END || CASE WHEN {0} % 3600 > 0 THEN ({0} % 3600 // 60) || 'M' ELSE '' END"
+_add(
+    "evt_render", lambda s, d: _lines(orders.events(s, d), render_event(), "event_uid"),
+    f"""SELECT event_uid, array_to_string(list_sort(['UID:' || event_uid, 'LAST-MODIFIED:' || {_TIME_SQL.format('dtstart_ts')}, 'DTSTART:' || {_TIME_SQL.format('dtstart_ts')},
+  CASE WHEN has_end THEN 'DTEND:' || {_TIME_SQL.format('(dtstart_ts + dur)')} ELSE {_PT_SQL.format('dur')} END, 'RRULE:COUNT=' || n || ';FREQ=DAILY;INTERVAL=' || step, 'CLASS:' || class, 'RELATED-TO;RELTYPE=PARENT:' || parent,
+  'CATEGORIES:' || array_to_string(list_sort(categories), ','), 'LOCATION-TYPE:' || array_to_string(list_sort(location_type), ',')]), '|') AS body FROM ev""",
+)
+_add(
+    "evo_render", lambda s, d: _lines(orders.overrides(s, d), render_override(), "event_uid", "occurrence_ts"),
+    f"""SELECT ov.event_uid, occurrence_ts, array_to_string(list_sort(list_filter(['LAST-MODIFIED:' || {_TIME_SQL.format('ev.dtstart_ts')}, 'DTSTART:' || {_TIME_SQL.format('occurrence_ts')}, {_PT_SQL.format('duration_s')},
+  'CATEGORIES:' || array_to_string(list_sort(ov.categories), ','), CASE WHEN geo_overridden THEN 'GEO:;' END], lambda x: x IS NOT NULL)), '|') AS body FROM ov JOIN ev ON ev.event_uid = ov.event_uid""",
+)

@@ -170,17 +170,73 @@ def parse_overrides(bodies: DataFrame) -> DataFrame:
     )
 
 
-def render_instance(tzid: str = "UTC") -> Column:
-    """An instance's content lines, sorted."""
-    zone = ":" if tzid == "UTC" else f";TZID={tzid}:"
-    line = lambda name, value: F.concat(F.lit(name), value)
-    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+def _described(blank: bool = False) -> list[Column]:
+    """Arrays of the lines that events, overrides and instances have in common; with blank, an empty list is a line too."""
+    shown = lambda c: F.col(c).isNotNull() if blank else F.size(c) > 0
+    lists = [F.when(shown(c), F.concat(F.lit(f"{name}:"), ical.show_list(F.col(c)))) for name, c in (("CATEGORIES", "categories"), ("LOCATION-TYPE", "location_type"))]
     related = F.transform(F.coalesce("related_to", F.array().cast(RELATED)), lambda r: F.concat(F.lit("RELATED-TO;RELTYPE="), r["reltype"], F.lit(":"), r["uid"]))
     carried = F.flatten(F.coalesce(F.map_values("passive"), F.array().cast("array<array<string>>")))
-    single = F.array(
-        line(f"DTSTART{zone}", ical.show_time(F.col("dtstart_ts"), tzid)), line(f"DTEND{zone}", ical.show_time(F.col("dtend_ts"), tzid)), line("DURATION:", ical.show_duration(F.col("duration_s"))),
-        line(f"RECURRENCE-ID;VALUE=DATE-TIME{zone}", ical.show_time(F.col("recurrence_id_ts"), tzid)), line("UID:", F.col("event_uid")),
-        F.when(some("categories"), line("CATEGORIES:", ical.show_list(F.col("categories")))), F.when(some("location_type"), line("LOCATION-TYPE:", ical.show_list(F.col("location_type")))),
-        line("CLASS:", F.col("class")), F.concat(F.lit("GEO:"), F.col("geo.lat").cast("string"), F.lit(";"), F.col("geo.long").cast("string")),
-    )
-    return F.array_sort(F.filter(F.concat(single, related, carried), lambda x: x.isNotNull()))
+    return [F.array(*lists, F.concat(F.lit("CLASS:"), F.col("class"))), related, carried]
+
+
+def _place() -> Column:
+    return F.concat(F.lit("GEO:"), F.col("geo.lat").cast("string"), F.lit(";"), F.col("geo.long").cast("string"))
+
+
+def _timed(name: str, tzid: Column, time: Column) -> Column:
+    return F.concat(_stem(name, tzid), ical.show_time(time, tzid))
+
+
+def _stem(name: str, tzid: Column) -> Column:
+    """A line up to its value, which is a time in a zone."""
+    return F.concat(F.lit(name), F.when(tzid == "UTC", F.lit(":")).otherwise(F.concat(F.lit(";TZID="), tzid, F.lit(":"))))
+
+
+def _modified() -> Column:
+    millis = F.when(F.col("last_modified_ms") > 0, F.concat(F.lit(";X-MILLIS="), F.col("last_modified_ms").cast("string"))).otherwise(F.lit(""))
+    return F.concat(F.lit("LAST-MODIFIED"), millis, F.lit(":"), ical.show_time(F.col("last_modified_ts")))
+
+
+def _sorted_lines(single: list[Column], *more: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(*single), *more), lambda x: x.isNotNull())))
+
+
+def _shown_rule(name: str, rule: str) -> Column:
+    """A rule's line with its parts by name; UNTIL in UTC, WKST where it isn't Monday."""
+    of = lambda f: F.col(f"{rule}.{f}")
+    parts = {n: F.when(F.size(of(f)) > 0, F.array_join(F.transform(of(f), lambda x: x.cast("string")), ",")) for f, n in (_RULE_LISTS | {"byday": "BYDAY"}).items()}
+    parts |= {n: of(n.lower()).cast("string") for n in ("FREQ", "INTERVAL", "COUNT")}
+    parts |= {"UNTIL": ical.show_time(of("until_ts")), "WKST": F.when(of("wkst") != WEEKDAYS[0], of("wkst"))}
+    return F.when(F.col(rule).isNotNull(), F.concat(F.lit(f"{name}:"), F.concat_ws(";", *(F.concat(F.lit(f"{n}="), v) for n, v in sorted(parts.items())))))
+
+
+def render_calendar() -> Column:
+    return F.array(F.concat(F.lit("UID:"), F.col("calendar_uid")))
+
+
+def render_event(tzid: str | None = None) -> Column:
+    """An event's content lines, sorted, in a zone or else in its own. parse_events() reads the same event from them."""
+    zone = F.lit(tzid) if tzid else F.coalesce("tzid", F.lit("UTC"))
+    dates = lambda name, c: F.when(F.size(c) > 0, F.concat(_stem(name, zone), F.array_join(F.transform(c, lambda t: ical.show_time(t, zone)), ",")))
+    single = [
+        F.concat(F.lit("UID:"), F.col("event_uid")), _modified(), _timed("DTSTART", zone, F.col("dtstart_ts")), _timed("DTEND", zone, F.col("dtend_ts")), F.concat(F.lit("DURATION:"), ical.show_duration(F.col("duration_s"))),
+        _shown_rule("RRULE", "rule"), _shown_rule("EXRULE", "exrule"), dates("RDATE", "rdates"), dates("EXDATE", "exdates"), _place(),
+    ]
+    return _sorted_lines(single, *_described())
+
+
+def render_override(tzid: str = "UTC") -> Column:
+    """An override's content lines, sorted. What it clears is a blank line; what it inherits is none."""
+    place = F.when(F.coalesce("geo_overridden", F.lit(False)), F.coalesce(_place(), F.lit("GEO:;")))
+    single = [_modified(), _timed("DTSTART", F.lit(tzid), F.col("occurrence_ts")), F.concat(F.lit("DURATION:"), ical.show_duration(F.col("duration_s"))), place]
+    return _sorted_lines(single, *_described(blank=True))
+
+
+def render_instance(tzid: str = "UTC") -> Column:
+    """An instance's content lines, sorted."""
+    zone = F.lit(tzid)
+    single = [
+        _timed("DTSTART", zone, F.col("dtstart_ts")), _timed("DTEND", zone, F.col("dtend_ts")), F.concat(F.lit("DURATION:"), ical.show_duration(F.col("duration_s"))),
+        _timed("RECURRENCE-ID;VALUE=DATE-TIME", zone, F.col("recurrence_id_ts")), F.concat(F.lit("UID:"), F.col("event_uid")), _place(),
+    ]
+    return _sorted_lines(single, *_described())

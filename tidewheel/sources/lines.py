@@ -215,7 +215,7 @@ def render_calendar() -> Column:
 
 
 def render_event(tzid: str | None = None) -> Column:
-    """An event's content lines, sorted, in a zone or else in its own. parse_events() reads the same event from them."""
+    """An event's content lines, sorted, in a zone or else in its own."""
     zone = F.lit(tzid) if tzid else F.coalesce("tzid", F.lit("UTC"))
     dates = lambda name, c: F.when(F.size(c) > 0, F.concat(_stem(name, zone), F.array_join(F.transform(c, lambda t: ical.show_time(t, zone)), ",")))
     single = [
